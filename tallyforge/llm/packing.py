@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import arrow_rows, materialize, table, text_bytes
-from tallyforge.llm.tokens import WordCache, packed, word_bpe
+from tallyforge.llm.tokens import packed, word_bpe, word_cache
 
 CAPACITY = 2048
 
@@ -25,7 +25,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     """(doc_id, piece, start, length, ids_crc32): each text's ids and ``end``, cut every ``capacity`` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, tail = WordCache(tokenizer, packed), packed([end])
+        cache, tail = word_cache(tokenizer, packed), packed([end])
         for batch in arrow_rows(batches):
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):

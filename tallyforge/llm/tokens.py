@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Callable, Iterator
 
@@ -12,8 +13,11 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import arrow_rows, table, text_bytes
 
-#: Words whose ids a task keeps. At more it starts anew, so memory stays bounded.
-CACHE_WORDS = 300_000
+#: Words, and pieces of words, whose ids a Python worker keeps. At more it starts anew, so memory stays bounded.
+CACHE_WORDS = 600_000
+
+#: A word whose pieces are sure: letters that have one lower-case form, then marks that join no contraction.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?|*#$%&()\\[\\]\"-]*)")
 
 
 def word_bpe() -> str:
@@ -22,12 +26,33 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the rest from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class _Known(dict):
+    """What words gave; an unknown one is encoded when it is asked for."""
+
+    def __init__(self, find: Callable[[bytes], object]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, word: bytes) -> object:
+        out = self[word] = self.find(word)
+        return out
+
+
 class WordCache:
     """Encodes texts word by word and keeps what each word gave.
 
-    Right for tokenizers that split at white space and drop it, as
-    ``word_bpe_49k.json`` does: there the ids of a text are those of its words
-    in turn. ``make`` turns a word's ids into what is kept.
+    Right for tokenizers that split at white space and drop it, ignore case and
+    split letters from marks, as ``word_bpe_49k.json`` does: the ids of a text
+    are those of its words in turn, and a plain word's those of its letters and
+    its marks. Other words go through the whole tokenizer. ``make`` turns a
+    word's ids into what is kept.
     """
 
     def __init__(self, path: str, make: Callable[[list[int]], object], most: int = CACHE_WORDS):
@@ -35,28 +60,47 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.make, self.most = Tokenizer.from_file(path), make, most
-        self.known: dict[bytes, object] = {}
-
-    def words(self, text: bytes | None) -> list[bytes]:
-        words = text.split() if text else []
-        new = list(set(words).difference(self.known))
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = list(set(words))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for word, got in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = self.make(got.ids)
-        return words
+        self.letters = _byte_letters()
+        self.known, self.pieces = _Known(self._word), {}
+
+    def _piece(self, piece: str) -> list[int]:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+            ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(shown)] if piece else []
+        return ids
+
+    def _word(self, word: bytes) -> object:
+        text = word.decode("utf-8", "replace")
+        m = _PLAIN.fullmatch(text)
+        if m:
+            return self.make(self._piece(m[1].lower()) + self._piece(m[2]))
+        return self.make(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _kept(self, text: bytes | None) -> Iterator[object]:
+        if len(self.known) > self.most:
+            self.known.clear()
+        if len(self.pieces) > self.most:
+            self.pieces.clear()
+        return map(self.known.__getitem__, text.split() if text else [])
 
     def ids(self, text: bytes | None) -> bytes:
         """The ids of a text, four little-endian bytes each."""
-        words = self.words(text)
-        return b"".join(map(self.known.__getitem__, words))
+        return b"".join(self._kept(text))
 
     def count(self, text: bytes | None) -> int:
-        words = self.words(text)
-        return sum(map(self.known.__getitem__, words))
+        return sum(self._kept(text))
+
+
+_CACHES: dict[tuple[str, str], WordCache] = {}
+
+
+def word_cache(path: str, make: Callable[[list[int]], object]) -> WordCache:
+    """The cache of this Python worker, which later tasks of the worker use again."""
+    key = (path, make.__name__)
+    if key not in _CACHES:
+        _CACHES[key] = WordCache(path, make)
+    return _CACHES[key]
 
 
 def packed(ids: list[int]) -> bytes:
@@ -67,7 +111,7 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFra
     """One row (n_tokens long) per row of ``docs``; a null or empty text has 0 tokens."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(tokenizer, len)
+        cache = word_cache(tokenizer, len)
         for batch in arrow_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array([cache.count(x) for x in batch.column(0).to_pylist()], pa.int64())], names=["n_tokens"])
 
