@@ -8,6 +8,8 @@ trees over both and walks them together.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +18,13 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import components, materialize, min_labels, table
 
 #: Vectors of a cell, and visitors in one task.
-CELL, VISITORS = 2048, 8192
+CELL, VISITORS = 8192, 8192
 #: Pivots that split one cell, and cells split in one pass; their product bounds what is sent to the tasks.
 FANOUT, CELLS_AT_ONCE = 32, 256
-_SLACK = 1e-9
+#: Chords are exact to this, also those of nearly equal vectors.
+_SLACK = 1e-7
+#: Centres, or nodes of one side, whose distances are computed together.
+_BLOCK = 256
 
 
 class CoverTree:
@@ -36,33 +41,39 @@ class CoverTree:
         self.members: list[np.ndarray] = []
         self.children: list[np.ndarray | None] = []
         if len(x):
-            self._add(np.arange(len(x)), 2.0)
+            self._grow()
         self.centres = self.x[self.centre] if len(x) else x
         self.radii = np.array(self.radius)
 
-    def _add(self, members: np.ndarray, level: float) -> int:
-        stack: list[tuple[np.ndarray, float, int]] = [(members, level, self._node(members))]
-        root = stack[0][2]
+    def _grow(self) -> None:
+        every = np.arange(len(self.x))
+        stack = [(self._node(every, float(chord(self.x, self.x[:1]).max())), 2.0)]
         while stack:
-            members, level, node = stack.pop()
-            if len(members) <= self.leaf or self.radius[node] < 1e-7:
+            node, level = stack.pop()
+            if len(self.members[node]) <= self.leaf or self.radius[node] < 1e-6:
                 continue
             while self.radius[node] <= level / 2:
                 level /= 2
-            left, kids = members, []
-            while len(left):
-                near = chord(self.x[left], self.x[left[0]][None, :])[:, 0] <= level / 2
-                near[0] = True
-                kids.append(left[near])
-                left = left[~near]
-            ids = [self._node(k) for k in kids]
+            ids = [self._node(m, r) for m, r in self._net(self.members[node], level / 2)]
             self.children[node] = np.array(ids)
-            stack += [(k, level / 2, i) for k, i in zip(kids, ids, strict=True)]
-        return root
-
-    def _node(self, members: np.ndarray) -> int:
+            stack += [(i, level / 2) for i in ids]
+
+    def _net(self, members: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, float]]:
+        """Members by centres: the first that is left takes all within ``reach``, and so on; with the largest distance."""
+        while len(members):
+            d = chord(self.x[members], self.x[members[:_BLOCK]])
+            near, free = d <= reach, np.ones(len(members), bool)
+            for k in range(d.shape[1]):
+                if free[k]:
+                    mine = np.flatnonzero(near[:, k] & free)
+                    mine = mine if near[k, k] else np.append(mine, k)
+                    free[mine] = False
+                    yield members[np.r_[k, mine[mine != k]]], float(d[mine, k].max()) if len(mine) > 1 else 0.0
+            members = members[free]
+
+    def _node(self, members: np.ndarray, radius: float) -> int:
         self.centre.append(int(members[0]))
-        self.radius.append(float(chord(self.x[members], self.x[members[0]][None, :]).max()) if len(members) > 1 else 0.0)
+        self.radius.append(radius)
         self.members.append(members)
         self.children.append(None)
         return len(self.centre) - 1
@@ -85,15 +96,15 @@ def dual_links(one: CoverTree, two: CoverTree, tau: float):
     stack = [(np.array([0]), np.array([0]))]
     while stack:
         a, b = stack.pop()
-        for at in range(0, len(a), 256):
-            part = a[at : at + 256]
-            d = chord(one.centres[part], two.centres[b])
-            spread = one.radii[part][:, None] + two.radii[b][None, :]
-            alive = d <= tau + spread + _SLACK
-            if same:
-                alive &= part[:, None] <= b[None, :] if a is b else True
+        for at in range(0, len(a), _BLOCK):
+            part, rest = a[at : at + _BLOCK], b[at:] if same and a is b else b
+            d = chord(one.centres[part], two.centres[rest])
+            spread = one.radii[part][:, None] + two.radii[rest][None, :]
+            alive = d <= spread + (tau + _SLACK)
+            if same and a is b:
+                alive = np.triu(alive)
             for i, j in zip(*np.nonzero(alive), strict=True):
-                p, q = int(part[i]), int(b[j])
+                p, q = int(part[i]), int(rest[j])
                 kids_p, kids_q = one.children[p], two.children[q]
                 if same and p == q:
                     if kids_p is None:

@@ -112,12 +112,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TI
 def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TIMES) -> DataFrame:
     """The rows of ``docs``, each as often as ``mix`` takes it; those without words are left out."""
     rows = materialize(sized(docs), "mixing-sizes")
-    goals = thresholds(rows, weights, most).select(*(F.col(c).alias(f"_mix_{c}") for c in ("key", "times", "under")))
-    worded = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    out = worded.join(_small(goals)(goals), _key() == F.col("_mix_key"))
-    extra = F.coalesce((F.shiftright(_hash(), 60 - BITS * LEVELS) < F.col("_mix_under")).cast("long"), F.lit(0))
-    times = F.col("_mix_times") + extra
-    return out.where(times > 0).withColumn("_mix_n", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(docs.columns)
+    goals = thresholds(rows, weights, most).withColumnRenamed("key", "_key")
+    worded = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(F.struct("*").alias("_row"), _key().alias("_key"), _hash().alias("_hash"))
+    out = worded.join(_small(goals)(goals), "_key").withColumn("_copies", _copies(F.col("_hash"))).where("_copies > 0")
+    return out.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("_row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

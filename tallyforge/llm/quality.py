@@ -119,7 +119,7 @@ def _hit(x: np.ndarray, test: tuple[int, str, float]) -> np.ndarray:
 
 
 def _grow(x: np.ndarray, bad: np.ndarray, most_tests: int, cuts: int) -> list[tuple[int, str, float]]:
-    """Add the test of most information gain until no good row is covered."""
+    """Add the test of most information gain until no good row is covered; thresholds are quantiles of all rows and of bad ones."""
     inside, tests = np.ones(len(x), bool), []
     while len(tests) < most_tests:
         p, n = int(bad[inside].sum()), int((~bad[inside]).sum())
@@ -128,7 +128,7 @@ def _grow(x: np.ndarray, bad: np.ndarray, most_tests: int, cuts: int) -> list[tu
         before, best = np.log2(p / (p + n)), (0.0, None)
         rows, target = x[inside], bad[inside]
         for f in range(x.shape[1]):
-            for at in np.unique(np.quantile(rows[:, f], np.linspace(0, 1, cuts), method="nearest")):
+            for at in np.unique(np.concatenate([np.quantile(v, np.linspace(0, 1, cuts), method="nearest") for v in (rows[:, f], rows[target, f])])):
                 for sign in ("<=", ">="):
                     hit = _hit(rows, (f, sign, at))
                     good = int(hit.sum())
@@ -161,21 +161,24 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str], precision: float = 0
 
     Two rows of three grow a conjunction, the third prunes it. A rule counts
     only if at least ``precision`` of what it covers is bad and it covers
-    ``least`` rows; what it covers is then set aside. Any other text is kept.
+    ``least`` rows; what it covers is then set aside. If it does not count,
+    another third prunes, and then none; if nothing counts, the list ends. Any
+    other text is kept.
     """
     rules: list[Rule] = []
     left = np.arange(len(x))
     while len(rules) < most_rules and bad[left].sum() >= least:
-        grow, prune = left[left % 3 != 0], left[left % 3 == 0]
-        tests = _grow(x[grow], bad[grow], most_tests, cuts)
-        tests = _prune(tests, x[prune], bad[prune])
-        if not tests:
-            break
-        inside = np.ones(len(left), bool)
-        for test in tests:
-            inside &= _hit(x[left], test)
-        covered, right = int(inside.sum()), int(bad[left][inside].sum())
-        if covered < least or right < precision * covered:
+        for third, prunes in ((0, True), (1, True), (2, True), (0, False), (1, False), (2, False)):
+            grow, prune = left[left % 3 != third], left[left % 3 == third]
+            tests = _grow(x[grow], bad[grow], most_tests, cuts)
+            tests = _prune(tests, x[prune], bad[prune]) if prunes else tests
+            inside = np.full(len(left), bool(tests))
+            for test in tests:
+                inside &= _hit(x[left], test)
+            covered, right = int(inside.sum()), int(bad[left][inside].sum())
+            if covered >= least and right >= precision * covered:
+                break
+        else:
             break
         rules.append(Rule(tuple((names[f], sign, at) for f, sign, at in tests), right / covered, covered))
         left = left[~inside]
@@ -213,6 +216,10 @@ def decision(rules: list[Rule]) -> Column:
     return F.lit(None).cast("int") if out is None else out
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
 def judged(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, most: int = TRAIN_ROWS) -> DataFrame:
     """``keep`` (doc_id by default), the COUNTS, base_failed, rule and kept for every row of ``docs``.
 
@@ -225,11 +232,17 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, mo
     keep = keep or ["doc_id"]
     rules = learn(*training_rows(docs, labels, most), FEATURES)
     stats = with_statistics(docs, keep)
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    first = decision(rules)
+    failed, first = _base_failed(), decision(rules)
     return stats.select(*(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)), *COUNTS, failed.alias("base_failed"), first.alias("rule"), (~failed & first.isNull()).alias("kept"))
 
 
+def good_documents(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, with all their columns whatever their names."""
+    rules = learn(*training_rows(docs, labels, most), FEATURES)
+    stats = with_statistics(docs, docs.columns)
+    return stats.where(~_base_failed() & decision(rules).isNull()).select(*(F.col(f"kept_{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")

@@ -41,7 +41,7 @@ BASE = (
 )
 #: Kinds that are added to them.
 ADDED = (
-    Rule("pem", 1, rb"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?", 0, 0, (b"private key-----",)),
+    Rule("pem", 1, rb"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,30}PRIVATE KEY-----)?", 0, 0, (b"private key-----",)),
     Rule("jwt", 1, rb"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 0, (b"eyj",)),
     Rule("prefixed", 1, rb"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{20,}|sk_live_[A-Za-z0-9]{20,})", 0, 0, (b"_", b"xox")),
     Rule("userinfo", 1, rb"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{6,128}@[A-Za-z0-9.-]+", 0, 0, (b"://",)),
@@ -62,8 +62,11 @@ def find(text: bytes | None, rules: tuple[Rule, ...], compiled: dict[str, re.Pat
                 found.append((m.start(), order, m.end(), rule.name))
     if not found:
         return []
-    point = (lambda at: at) if text.isascii() else (lambda at: len(text[:at].decode("utf-8", "replace")))
-    return [(point(a), point(b), name) for a, _, b, name in sorted(found)]
+    point, at, points = {}, 0, 0
+    for stop in sorted({x for a, _, b, _ in found for x in (a, b)}):
+        points += len(text[at:stop].decode("utf-8", "replace"))
+        point[stop], at = points, stop
+    return [(point[a], point[b], name) for a, _, b, name in sorted(found)]
 
 
 def blob_id(text: Column) -> Column:
@@ -112,8 +115,8 @@ def findings(versions: DataFrame, ledger: DataFrame, keep: list[str], rules: tup
     hits = ledger.where(current & (F.size("spans") > 0)).select("blob", F.explode("spans").alias("s")).where(F.element_at(order, F.col("s.kind")).isNotNull())
     sets = hits.groupBy("blob").agg(F.sort_array(F.collect_set(F.struct("s.start", F.element_at(order, F.col("s.kind")).alias("o"), "s.end", "s.kind"))).alias("sorted"))
     sets = materialize(sets.select("blob", F.transform("sorted", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("spans")), "secrets-found")
-    ids = versions.select(*keep, blob_id(F.col(text)).alias("blob"))
-    return ids.join(sets, "blob", "left").select(*keep, F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    ids = versions.select(F.struct(*keep).alias("_row"), blob_id(F.col(text)).alias("blob"))
+    return ids.join(sets, "blob", "left").select("_row.*", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def scanned(docs: DataFrame, keep: list[str] | None = None, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -143,6 +146,18 @@ def redact(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.concat(free["out"], F.substring(text, free["at"] + 1, F.length(text)))).otherwise(text)
 
 
+def redacted(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` with every secret in text replaced by its kind; n_chars, where there is one, follows."""
+    packed = docs.select(F.struct("*").alias("_row"), "text")
+    found = scanned(packed, ["_row"], ledger, rules)
+    some = F.size("spans") > 0
+    found = found.withColumn("_text", redact(F.col("_row.text"), F.col("spans")))
+    changed = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(some, F.length("_text")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.select(*(changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scanned(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin([r.name for r in BASE]))

@@ -7,7 +7,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import arrow_rows, components, materialize, star, table, text_bytes
@@ -34,15 +34,20 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long."""
+    """(doc_id, body, fp): the hash of the whole text, and the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_rows(batches):
-            fps = np.fromiter((fingerprint(x, width, seed) for x in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(x, width, seed) for x in batch.column(2).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], names=["doc_id", "body", "fp"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", body_hash().alias("body"), text_bytes().alias("text")).mapInArrow(run, f"doc_id {kind}, body long, fp long")
+
+
+def body_hash() -> Column:
+    """A hash of the text that tells rows of one doc_id apart; a null text's is 0."""
+    return F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("text"))
 
 
 class BKForest:
@@ -153,13 +158,14 @@ def shards(distinct: DataFrame, radius: int = RADIUS, most: int = SHARD) -> Data
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp, component_id): documents whose fingerprints differ in ``radius`` bits at most are linked.
-
-    component_id is the smallest doc_id reachable, itself included. Null and
-    empty texts have fingerprint 0 and link like any other; equal texts and
-    repeated rows share a fingerprint and so a component; extra columns are
-    ignored; no document gives no row. Copies are merged by fingerprint before
-    any pair is looked at.
+    """(doc_id, body, fp, group, component_id): documents whose fingerprints differ in ``radius`` bits at most are linked.
+
+    group is the same for all that can be reached, component_id the smallest
+    doc_id there. Null and empty texts have fingerprint 0 and link like any
+    other; equal texts and repeated rows share a fingerprint and so a group; a
+    null doc_id is no smallest one unless a group has no other; extra columns
+    are ignored; no document gives no row. Copies are merged by fingerprint
+    before any pair is looked at.
     """
     prints = materialize(fingerprints(docs, width, seed), "simhash-prints")
     reps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
@@ -168,9 +174,31 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3, seed:
     linked = roots.select(F.col("u").alias("fp"), F.col("v").alias("root"))
     linked = materialize(linked.union(linked.select("root", "root").distinct()).join(reps, "fp"), "simhash-linked")
     least = materialize(linked.groupBy("root").agg(F.min("rep").alias("least")), "simhash-least")
-    moved = linked.join(least, "root").select("fp", "least")
-    labels = materialize(reps.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "simhash-labels")
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    moved = linked.join(least, "root").select("fp", "root", "least")
+    labels = materialize(reps.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"), F.coalesce("least", "rep").alias("component_id")), "simhash-labels")
+    return prints.join(labels, "fp").select("doc_id", "body", "fp", "group", "component_id")
+
+
+def first_of_each(docs: DataFrame, radius: int = RADIUS, width: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``docs``, one of each group: that of its smallest doc_id, of several texts the one of least hash; of repeated rows one.
+
+    Only doc_ids that occur more than once are made distinct by a shuffle of
+    whole rows; the rest are kept by a semi-join.
+    """
+    found = near_duplicates(docs, radius, width, seed)
+    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group").agg(F.min("body").alias("_body"), F.min("doc_id").alias("_doc"))
+    chosen = chosen.groupBy("_doc", "_body").agg(F.count("*").alias("_groups"))
+    times = found.groupBy(F.col("doc_id").alias("_doc"), F.col("body").alias("_body")).agg(F.count("*").alias("_times"))
+    both = [F.col("c._doc").eqNullSafe(F.col("t._doc")), F.col("c._body") == F.col("t._body")]
+    chosen = materialize(chosen.alias("c").join(times.alias("t"), both).select("c._doc", "c._body", "_times"), "simhash-chosen")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), body_hash().alias("_hash"))
+    on = [F.col("_id").eqNullSafe(F.col("_doc")), F.col("_hash") == F.col("_body")]
+    once = rows.join(chosen.where("_times = 1"), on, "left_semi").select("_row.*")
+    again = chosen.where("_times > 1")
+    if not again.head(1):
+        return once
+    repeated = rows.join(again, on, "left_semi").groupBy("_id", "_hash").agg(F.first("_row").alias("_row"))
+    return once.unionByName(repeated.select("_row.*"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
