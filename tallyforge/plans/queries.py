@@ -40,7 +40,10 @@ def _keys(spark: SparkSession, d: str) -> DataFrame:
     return M.file_keys(K.files(spark, d), ["path", "archive", "entry", "container", "in_output"])
 
 
-ORDER = M.file_order(avoid_output=True)
+def _order() -> list:
+    return M.file_order(avoid_output=True)
+
+
 BEST = """, _m AS (SELECT r.game_ord, r.rom_ord, f.path, f.archive, f.entry,
     row_number() OVER (PARTITION BY r.game_ord, r.rom_ord ORDER BY CASE WHEN r.sha256 IS NOT NULL THEN 0 WHEN r.sha1 IS NOT NULL THEN 1 ELSE 2 END,
       CASE f.container WHEN 'file' THEN 0 WHEN 'zip' THEN 1 ELSE 4 END, f.in_output, f.path) AS n
@@ -53,7 +56,7 @@ statuses AS (SELECT g.game_ord, g.name, c.n_roms, c.n_found, CASE WHEN n_found =
 
 
 def best(spark: SparkSession, d: str) -> DataFrame:
-    return M.best_match(K.roms(spark, d), _keys(spark, d), ["game_ord", "rom_ord"], ORDER)
+    return M.best_match(K.roms(spark, d), _keys(spark, d), ["game_ord", "rom_ord"], _order())
 
 
 def statuses(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +90,7 @@ def report_unused(spark: SparkSession, d: str) -> DataFrame:
     (ROMS, FILES),
 )
 def match_multi_digest(spark: SparkSession, d: str) -> DataFrame:
-    return M.match(K.roms(spark, d), _keys(spark, d), ["game_ord", "rom_ord"], ORDER).select("game_ord", "rom_ord", "path", "algo")
+    return M.match(K.roms(spark, d), _keys(spark, d), ["game_ord", "rom_ord"], _order()).select("game_ord", "rom_ord", "path", "algo")
 
 
 @query(" SELECT sha1 AS key, path, kind FROM (SELECT *, min(kind) OVER (PARTITION BY sha1) AS least FROM files) WHERE kind = least", (FILES,))
@@ -102,7 +105,7 @@ def match_kind_precedence(spark: SparkSession, d: str) -> DataFrame:
 )
 def file_rank(spark: SparkSession, d: str) -> DataFrame:
     keys = M.file_keys(K.files(spark, d).select("path", "container", "in_output", "sha1"), ["path", "container", "in_output"])
-    return M.rank_files(keys, ORDER).select("key", "path", "file_rank")
+    return M.rank_files(keys, _order()).select("key", "path", "file_rank")
 
 
 DIVIDED = """, entries AS (SELECT DISTINCT archive, entry, sha1 AS rom_hash FROM files),
