@@ -25,6 +25,8 @@ FANOUT, CELLS_AT_ONCE = 32, 256
 _SLACK = 1e-7
 #: Centres, or nodes of one side, whose distances are computed together.
 _BLOCK = 256
+#: Pairs whose cosines are computed together.
+_CHECKED = 1 << 15
 
 
 class CoverTree:
@@ -71,6 +73,10 @@ class CoverTree:
                     yield members[np.r_[k, mine[mine != k]]], float(d[mine, k].max()) if len(mine) > 1 else 0.0
             members = members[free]
 
+    def lone(self) -> np.ndarray:
+        """By node, its one member; -1 if it has more or is split."""
+        return np.array([int(m[0]) if len(m) == 1 and c is None else -1 for m, c in zip(self.members, self.children, strict=True)], np.int64)
+
     def _node(self, members: np.ndarray, radius: float) -> int:
         self.centre.append(int(members[0]))
         self.radius.append(radius)
@@ -85,7 +91,7 @@ def chord(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def dual_links(one: CoverTree, two: CoverTree, tau: float):
-    """(i, j, sure) arrays of members: sure ones are within tau by the radii, all pairs of i and j; others are to be checked pair by pair.
+    """(i, j, sure) arrays of members: if sure, all pairs of i and j are within tau by the radii; if not, all are to be checked; with None, i and j are aligned pairs to be checked.
 
     A pair of nodes goes no further if its centres are over tau plus both radii
     apart. With ``one is two`` each pair of members comes once.
@@ -93,6 +99,7 @@ def dual_links(one: CoverTree, two: CoverTree, tau: float):
     same = one is two
     if not one.centre or not two.centre:
         return
+    lone_p, lone_q = one.lone(), two.lone()
     stack = [(np.array([0]), np.array([0]))]
     while stack:
         a, b = stack.pop()
@@ -103,14 +110,22 @@ def dual_links(one: CoverTree, two: CoverTree, tau: float):
             alive = d <= spread + (tau + _SLACK)
             if same and a is b:
                 alive = np.triu(alive)
-            for i, j in zip(*np.nonzero(alive), strict=True):
+            i, j = np.nonzero(alive)
+            p_, q_ = part[i], rest[j]
+            # nodes of one member each need no walk: all such pairs of the block are given together
+            ends = (lone_p[p_] >= 0) & (lone_q[q_] >= 0)
+            if same:
+                ends &= p_ != q_
+            if ends.any():
+                yield lone_p[p_[ends]], lone_q[q_[ends]], None
+            for i, j in zip(i[~ends], j[~ends], strict=True):
                 p, q = int(part[i]), int(rest[j])
                 kids_p, kids_q = one.children[p], two.children[q]
                 if same and p == q:
-                    if kids_p is None:
-                        yield one.members[p], one.members[p], False
-                    else:
+                    if kids_p is not None:
                         stack.append((kids_p, kids_p))
+                    elif lone_p[p] < 0:
+                        yield one.members[p], one.members[p], False
                 elif d[i, j] + spread[i, j] <= tau - _SLACK:
                     yield one.members[p], two.members[q], True
                 elif kids_p is None and kids_q is None:
@@ -139,28 +154,46 @@ def links_in_cell(own: np.ndarray, weight: np.ndarray, visitors: np.ndarray, vis
         label = min_labels(len(label), np.concatenate([np.arange(len(label)), a]), np.concatenate([label, b]))
 
     def handle(found, shift: int) -> None:
-        pending: list[tuple[np.ndarray, np.ndarray]] = []
+        edges: list[tuple[np.ndarray, np.ndarray]] = []
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def settle() -> None:
+            nonlocal held
+            if pairs:
+                a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                for at in range(0, len(a), _CHECKED):
+                    i, j = a[at : at + _CHECKED], b[at : at + _CHECKED]
+                    near = np.einsum("ij,ij->i", raw[i], raw[j]) / (norm[i] * norm[j]) >= least
+                    i, j = i[near], j[near]
+                    np.add.at(n, i, w[j])
+                    np.add.at(n, j, w[i])
+                    edges.append((i, j))
+            if edges:
+                join(*(np.concatenate(x) for x in zip(*edges, strict=True)))
+            edges.clear()
+            pairs.clear()
+            held = 0
+
         for i, j, sure in found:
             j = j + shift
             if sure:
                 n[i] += w[j].sum()
                 n[j] += w[i].sum()
-                pending += [(i, np.full(len(i), j[0])), (np.full(len(j), i[0]), j)]
+                edges += [(i, np.full(len(i), j[0])), (np.full(len(j), i[0]), j)]
+                held += len(i) + len(j)
+            elif sure is None:
+                pairs.append((i, j))
+                held += len(i)
             else:
-                a, b = (x.ravel() for x in np.meshgrid(i, j, indexing="ij"))
-                if not shift:
-                    once = a < b if i[0] == j[0] else slice(None)
-                    a, b = a[once], b[once]
-                cos = np.einsum("ij,ij->i", raw[a], raw[b]) / (norm[a] * norm[b])
-                a, b = a[cos >= least], b[cos >= least]
-                np.add.at(n, a, w[b])
-                np.add.at(n, b, w[a])
-                pending.append((a, b))
-            if sum(len(x) for x, _ in pending) > 1 << 16:
-                join(*(np.concatenate(x) for x in zip(*pending, strict=True)))
-                pending = []
-        if pending:
-            join(*(np.concatenate(x) for x in zip(*pending, strict=True)))
+                a, b = np.repeat(i, len(j)), np.tile(j, len(i))
+                if not shift and i[0] == j[0]:
+                    a, b = a[a < b], b[a < b]
+                pairs.append((a, b))
+                held += len(a)
+            if held > 4 * _CHECKED:
+                settle()
+        settle()
 
     tree = CoverTree(unit[:size])
     if inner:
