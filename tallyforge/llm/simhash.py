@@ -180,12 +180,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3, seed:
 
 
 def first_of_each(docs: DataFrame, radius: int = RADIUS, width: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``docs``, one of each group of near_duplicates()."""
+    return keep_first(docs, near_duplicates(docs, radius, width, seed))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``docs``, one of each group: that of its smallest doc_id, of several texts the one of least hash; of repeated rows one.
 
     Only doc_ids that occur more than once are made distinct by a shuffle of
     whole rows; the rest are kept by a semi-join.
     """
-    found = near_duplicates(docs, radius, width, seed)
     chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group").agg(F.min("body").alias("_body"), F.min("doc_id").alias("_doc"))
     chosen = chosen.groupBy("_doc", "_body").agg(F.count("*").alias("_groups"))
     times = found.groupBy(F.col("doc_id").alias("_doc"), F.col("body").alias("_body")).agg(F.count("*").alias("_times"))
