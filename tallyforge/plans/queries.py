@@ -139,7 +139,8 @@ excess AS (SELECT DISTINCT u.game_ord, f.archive, f.entry FROM (SELECT DISTINCT
 
 
 def _used(spark: SparkSession, d: str) -> DataFrame:
-    return best(spark, d).where("rom_ord = 0").select("game_ord", "archive", "entry")
+    # SQL gives a row per archive entry, whichever roms it serves
+    return best(spark, d).select("game_ord", "archive", "entry").distinct()
 
 
 @query(BEST + EXCESS + " SELECT * FROM excess", (GAMES, ROMS, FILES))
