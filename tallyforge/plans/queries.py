@@ -179,7 +179,7 @@ def conflict_paths(spark: SparkSession, d: str) -> DataFrame:
     (GAMES, ROMS, FILES),
 )
 def validator_discard(spark: SparkSession, d: str) -> DataFrame:
-    return C.validated(_outputs(spark, d).where("rom_ord = 0")).select("dat_id", "game_ord", "path", "out_path")
+    return C.validated(_outputs(spark, d)).select("dat_id", "game_ord", "path", "out_path")
 
 
 def _q(s: str) -> str:
