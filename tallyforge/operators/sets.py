@@ -25,16 +25,17 @@ def with_device_roms(roms: DataFrame, device_refs: DataFrame) -> DataFrame:
     return both.withColumn("rom_ord", F.row_number().over(order) - 1).drop("from_device", "device_ord")
 
 
-def roots(games: DataFrame, most: int = 64) -> DataFrame:
+def roots(games: DataFrame) -> DataFrame:
     """(game_ord, root): the end of each chain of rom_of. A chain that leaves the catalog or runs in a circle has root null.
 
-    Pointer jumping: each round doubles the distance, so a chain of ``most``
-    links takes log2(most) joins; each round's table is stored.
+    Pointer jumping: each round doubles the distance, so the longest chain takes
+    log2 of its links in joins; what is open after log2 of the number of games
+    is a circle. Each round's table is stored.
     """
     known = games.select(F.col("game_ord").alias("at")).withColumn("_there", F.lit(True))
     now = games.select("game_ord", F.coalesce("rom_of", "game_ord").alias("at"), F.col("rom_of").isNull().alias("ended"))
     now = stored(now.join(known, "at", "left_semi").select("game_ord", "at", "ended"), "roots")
-    for _ in range(max(1, (most - 1).bit_length())):
+    for _ in range(max(1, games.count().bit_length())):
         if not now.where("not ended").head(1):
             break
         step = now.select(F.col("game_ord").alias("at"), F.col("at").alias("_far"), F.col("ended").alias("_far_ended"))
