@@ -112,7 +112,10 @@ def findings(versions: DataFrame, ledger: DataFrame, keep: list[str], rules: tup
     """
     order = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))))
     current = reduce(lambda a, b: a | b, (F.array_contains("rules", r.key) for r in rules))
-    hits = ledger.where(current & (F.size("spans") > 0)).select("blob", F.explode("spans").alias("s")).where(F.element_at(order, F.col("s.kind")).isNotNull())
+    hits = ledger.where(current & (F.size("spans") > 0)).select("blob", "rules", F.explode("spans").alias("s"))
+    # a row may be current by one rule and stale by another
+    key = F.create_map(*(F.lit(x) for r in rules for x in (r.name, r.key)))
+    hits = hits.where(F.coalesce(F.array_contains("rules", F.element_at(key, F.col("s.kind"))), F.lit(False)))
     sets = hits.groupBy("blob").agg(F.sort_array(F.collect_set(F.struct("s.start", F.element_at(order, F.col("s.kind")).alias("o"), "s.end", "s.kind"))).alias("sorted"))
     sets = materialize(sets.select("blob", F.transform("sorted", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("spans")), "secrets-found")
     ids = versions.select(F.struct(*keep).alias("_row"), blob_id(F.col(text)).alias("blob"))
