@@ -50,6 +50,16 @@ def text_bytes(column: str = "text") -> Column:
     return F.col(column).cast("binary")
 
 
+#: Bytes of a batch that goes to Python; a larger row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has batches of rows end at BATCH_BYTES, in the session, so that what tasks hold follows from bytes and not from rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, BATCH_BYTES)
+
+
 def arrow_rows(batches: Iterable[pa.RecordBatch], most_bytes: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose column ``text`` holds about ``most_bytes`` at most (one row at least)."""
     for batch in batches:
