@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import arrow_rows, table, text_bytes
+from tallyforge.llm.common import arrow_rows, small_batches, table, text_bytes
 
 #: Labelled documents that a list is learned from, at most; chosen by hash of doc_id.
 TRAIN_ROWS = 8192
@@ -59,17 +59,25 @@ def statistics(text: bytes | None) -> tuple[int, ...]:
 
 
 def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (text among them or not) and the COUNTS of text, in one pass."""
+    """The columns ``keep`` of ``docs`` (text among them or not) as kept_0, kept_1 and so on, and the COUNTS of text, in one pass.
+
+    Text goes to Python once, as bytes, and comes back from there if it is kept.
+    """
+    others, back = [c for c in keep if c != "text"], "text" in keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_rows(batches):
-            counts = np.array([statistics(x) for x in batch.column(batch.num_columns - 1).to_pylist()], dtype=np.int64).reshape(-1, len(COUNTS))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(counts[:, i]) for i in range(len(COUNTS)))], names=[*(f"k{i}" for i in range(batch.num_columns - 1)), *COUNTS])
+            counts = np.array([statistics(x.as_py()) for x in batch.column(batch.num_columns - 1)], dtype=np.int64).reshape(-1, len(COUNTS))
+            kept = batch.columns if back else batch.columns[:-1]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(counts[:, i]) for i in range(len(COUNTS)))], names=names)
 
-    source = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), text_bytes().alias("text"))
     kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"k{i} {kinds[c]}" for i, c in enumerate(keep)), *(f"{c} long" for c in COUNTS)])
-    return source.mapInArrow(run, schema).select(*(F.col(f"k{i}").alias(f"kept_{i}") for i in range(len(keep))), *COUNTS)
+    names = [*(f"k{i}" for i in range(len(others))), *(["text"] if back else []), *COUNTS]
+    schema = ", ".join([*(f"k{i} {kinds[c]}" for i, c in enumerate(others)), *(["text binary"] if back else []), *(f"{c} long" for c in COUNTS)])
+    small_batches(docs.sparkSession)
+    out = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(others)), text_bytes().alias("text")).mapInArrow(run, schema)
+    kept = [F.col("text").cast(kinds["text"]) if c == "text" else F.col(f"k{others.index(c)}") for c in keep]
+    return out.select(*(c.alias(f"kept_{i}") for i, c in enumerate(kept)), *COUNTS)
 
 
 def _features() -> dict[str, Column]:
@@ -227,7 +235,8 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, mo
     windows. kept: not base_failed, and no learned rule holds. Null and empty
     texts have no words and so fail; without labels there is no rule; ties
     between tests go to the first feature and least threshold; repeated rows
-    are judged alike; no document gives no row; other columns are ignored.
+    are judged alike; texts of any length are counted whole; no document gives
+    no row; other columns are ignored, whatever their names.
     """
     keep = keep or ["doc_id"]
     rules = learn(*training_rows(docs, labels, most), FEATURES)
@@ -237,7 +246,7 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, mo
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of ``docs`` that ``judged`` keeps, with all their columns whatever their names."""
+    """The rows of ``docs`` that ``judged`` keeps, with all their columns whatever their names; of repeated rows all or none."""
     rules = learn(*training_rows(docs, labels, most), FEATURES)
     stats = with_statistics(docs, docs.columns)
     return stats.where(~_base_failed() & decision(rules).isNull()).select(*(F.col(f"kept_{i}").alias(c) for i, c in enumerate(docs.columns)))
