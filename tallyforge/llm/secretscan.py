@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import arrow_rows, materialize, table
+from tallyforge.llm.common import arrow_rows, materialize, small_batches, table
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -101,6 +101,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
                 spans.append([{"kind": k, "start": a, "end": b} for a, b, k in find(body, tuple(r for r in rules if r.key in wanted), compiled)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(spans, kinds)], names=["blob", "rules", "spans"])
 
+    small_batches(versions.sparkSession)
     return materialize(todo.mapInArrow(run, f"blob binary, rules array<string>, spans {SPANS}"), "secrets-ledger")
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import arrow_rows, components, materialize, star, table, text_bytes
+from tallyforge.llm.common import arrow_rows, components, materialize, small_batches, star, table, text_bytes
 
 #: Fingerprints of a shard; a larger one is split further.
 SHARD = 1024
@@ -41,6 +41,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
             fps = np.fromiter((fingerprint(x, width, seed) for x in batch.column(2).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], names=["doc_id", "body", "fp"])
 
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", body_hash().alias("body"), text_bytes().alias("text")).mapInArrow(run, f"doc_id {kind}, body long, fp long")
 

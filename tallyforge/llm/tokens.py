@@ -11,10 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import arrow_rows, table, text_bytes
+from tallyforge.llm.common import arrow_rows, small_batches, table, text_bytes
 
-#: Words, and pieces of words, whose ids a Python worker keeps. At more it starts anew, so memory stays bounded.
-CACHE_WORDS = 600_000
+#: Bytes, about, that a Python worker keeps of words' ids and again of pieces' ids; at more it starts anew.
+CACHE_BYTES = 32 << 20
+#: Bytes of a word that is kept, at most; longer ones hardly come twice.
+LONG_WORD = 64
+#: Bytes that an entry takes besides its word and ids.
+_ENTRY = 180
 
 #: A word whose pieces are sure: letters that have one lower-case form, then marks that join no contraction.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?|*#$%&()\\[\\]\"-]*)")
@@ -34,14 +38,20 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Known(dict):
-    """What words gave; an unknown one is encoded when it is asked for."""
+    """What words gave; an unknown one is worked out when it is asked for. Holds about ``most`` bytes."""
 
-    def __init__(self, find: Callable[[bytes], object]):
+    def __init__(self, find: Callable[[bytes | str], object], most: int):
         super().__init__()
-        self.find = find
-
-    def __missing__(self, word: bytes) -> object:
-        out = self[word] = self.find(word)
+        self.find, self.most, self.held = find, most, 0
+
+    def __missing__(self, word: bytes | str) -> object:
+        out = self.find(word)
+        if len(word) <= LONG_WORD:
+            if self.held > self.most:
+                self.clear()
+                self.held = 0
+            self[word] = out
+            self.held += _ENTRY + 5 * len(word)
         return out
 
 
@@ -55,33 +65,26 @@ class WordCache:
     word's ids into what is kept.
     """
 
-    def __init__(self, path: str, make: Callable[[list[int]], object], most: int = CACHE_WORDS):
+    def __init__(self, path: str, make: Callable[[list[int]], object], most: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.make, self.most = Tokenizer.from_file(path), make, most
+        self.tokenizer, self.make = Tokenizer.from_file(path), make
         self.letters = _byte_letters()
-        self.known, self.pieces = _Known(self._word), {}
+        self.known, self.pieces = _Known(self._word, most), _Known(self._piece, most)
 
     def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(shown)] if piece else []
-        return ids
+        shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        return [t.id for t in self.tokenizer.model.tokenize(shown)] if piece else []
 
     def _word(self, word: bytes) -> object:
         text = word.decode("utf-8", "replace")
         m = _PLAIN.fullmatch(text)
         if m:
-            return self.make(self._piece(m[1].lower()) + self._piece(m[2]))
+            return self.make(self.pieces[m[1].lower()] + self.pieces[m[2]])
         return self.make(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _kept(self, text: bytes | None) -> Iterator[object]:
-        if len(self.known) > self.most:
-            self.known.clear()
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
         return map(self.known.__getitem__, text.split() if text else [])
 
     def ids(self, text: bytes | None) -> bytes:
@@ -108,13 +111,19 @@ def packed(ids: list[int]) -> bytes:
 
 
 def token_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """One row (n_tokens long) per row of ``docs``; a null or empty text has 0 tokens."""
+    """One row (n_tokens long) per row of ``docs``; a null or empty text has 0 tokens.
+
+    Texts are encoded whole, whatever their length; equal texts and repeated
+    rows count each by itself; no document gives no row; other columns are
+    ignored, whatever their names.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_cache(tokenizer, len)
         for batch in arrow_rows(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([cache.count(x) for x in batch.column(0).to_pylist()], pa.int64())], names=["n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([cache.count(x.as_py()) for x in batch.column(0)], pa.int64())], names=["n_tokens"])
 
+    small_batches(docs.sparkSession)
     return docs.select(text_bytes(text).alias("text")).mapInArrow(count, "n_tokens long")
 
 
