@@ -19,8 +19,8 @@ from tallyforge.llm.common import components, materialize, min_labels, table
 
 #: Vectors of a cell, and visitors in one task.
 CELL, VISITORS = 8192, 8192
-#: Pivots that split one cell, and cells split in one pass; their product bounds what is sent to the tasks.
-FANOUT, CELLS_AT_ONCE = 32, 256
+#: Pivots that split one cell in expectation, and rows of a large cell that go to one task.
+FANOUT, DEALT = 32, 16384
 #: Chords are exact to this, also those of nearly equal vectors.
 _SLACK = 1e-7
 #: Centres, or nodes of one side, whose distances are computed together.
@@ -143,6 +143,7 @@ def links_in_cell(own: np.ndarray, weight: np.ndarray, visitors: np.ndarray, vis
     """
     tau = float(np.sqrt(2.0 - 2.0 * least))
     raw = np.concatenate([own, visitors]) if len(visitors) else own
+    raw = _scaled(raw)
     norm = np.linalg.norm(raw, axis=1)
     unit = raw / norm[:, None]
     w = np.concatenate([weight, visitor_weight])
@@ -203,6 +204,11 @@ def links_in_cell(own: np.ndarray, weight: np.ndarray, visitors: np.ndarray, vis
     return n, label
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, the largest component between 1/2 and 1: the same directions, and no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None]) if len(x) else x
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if not len(column):
@@ -231,62 +237,49 @@ def _split(rows: DataFrame, least: float, cell: int = CELL) -> DataFrame:
     Each own vector goes to its nearest pivot, and as a visitor to later cells
     that the triangle inequality does not rule out: two vectors within tau are
     at distances from any two pivots that differ by 2 tau at most. Visitors go
-    to all such cells. Each pair of own vectors so meets exactly once.
+    to all such cells. Each pair of own vectors so meets exactly once. A large
+    cell is dealt out to as many tasks as its rows need, and its pivots are
+    sent to each of these; nothing is gathered on the driver.
     """
     tau, done = float(np.sqrt(2.0 - 2.0 * least)), None
     for depth in range(16):
-        sizes = materialize(rows.groupBy("cell").agg(F.sum(F.col("own").cast("long")).alias("n")).where(F.col("n") > cell), "cells-large")
+        sizes = materialize(rows.groupBy("cell").agg(F.sum(F.col("own").cast("long")).alias("n"), F.count("*").alias("n_rows")).where(F.col("n") > cell), "cells-large")
         if depth == 15 or not sizes.head(1):
             return rows if done is None else done.unionByName(rows)
-        few = sizes.count() <= 1 << 16
-        large = F.broadcast(sizes) if few else sizes
-        ended = rows.join(large, "cell", "left_anti")
+        ended = rows.join(sizes.select("cell"), "cell", "left_anti")
         done = ended if done is None else done.unionByName(ended)
-        rest = rows.join(large, "cell").withColumn("want", F.least(F.lit(FANOUT), F.ceil(F.col("n") / (0.5 * cell))))
-        rest = materialize(rest, "cells-rest")
-        lot = F.pmod(F.xxhash64("cell", F.lit(0)), F.lit(max(1, -(-sizes.count() // CELLS_AT_ONCE))))
-        parts = []
-        for k in range(max(1, -(-sizes.count() // CELLS_AT_ONCE))):
-            here = rest.where(lot == k)
-            picked = here.where(F.col("own") & (F.pmod(F.xxhash64("cid", F.lit(depth)), F.lit(1 << 30)) <= F.lit(float(1 << 30)) * F.col("want") / F.col("n")))
-            # the least hashes of a cell, FANOUT in expectation; one at least, by the fallback to the least of all
-            one = here.where("own").groupBy("cell").agg(F.min_by("vec", F.xxhash64("cid", F.lit(depth))).alias("vec"))
-            pivots = picked.select("cell", "vec").union(one).distinct().orderBy("cell").collect()
-            known: dict[int, np.ndarray] = {}
-            for r in pivots:
-                known.setdefault(r["cell"], []).append(r["vec"])
-            parts.append(here.mapInArrow(_assign({c: np.array(v, dtype=np.float64) for c, v in known.items()}, tau), "cell long, own boolean, cid long, weight long, vec array<float>"))
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        rows = materialize(rows, "cells-split")
+        plan = sizes.withColumn("want", F.least(F.lit(FANOUT), F.ceil(F.col("n") / (0.5 * cell)))).withColumn("salts", F.ceil(F.col("n_rows") / DEALT).cast("int"))
+        rest = materialize(rows.join(plan, "cell").withColumn("salt", F.pmod(F.xxhash64("cid", F.lit(~depth)), "salts").cast("int")), "cells-rest")
+        rank = F.xxhash64("cid", F.lit(depth))
+        own = rest.where("own")
+        # the least hashes of a cell: FANOUT in expectation, and one at least
+        picked = own.where(F.pmod(rank, F.lit(1 << 30)) <= F.lit(float(1 << 30)) * F.col("want") / F.col("n")).select("cell", "salts", "cid", "vec")
+        one = own.groupBy("cell", "salts").agg(F.min(F.struct(rank.alias("h"), "cid", "vec")).alias("p")).select("cell", "salts", "p.cid", "p.vec")
+        pivots = materialize(picked.union(one).dropDuplicates(["cell", "cid"]), "cells-pivots")
+        dealt = pivots.select("cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "cid", "vec")
+        parts = rest.groupBy("cell", "salt").cogroup(dealt.groupBy("cell", "salt"))
+        rows = materialize(parts.applyInArrow(_assign(tau), "cell long, own boolean, cid long, weight long, vec array<double>"), "cells-split")
     return rows
 
 
-def _assign(pivots: dict[int, np.ndarray], tau: float):
-    units = {c: p / np.linalg.norm(p, axis=1)[:, None] for c, p in pivots.items()}
-
-    def run(batches):
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            cells, own = t.column("cell").to_numpy(), np.asarray(t.column("own").to_numpy(zero_copy_only=False), dtype=bool)
-            for c in np.unique(cells):
-                at = np.flatnonzero(cells == c)
-                x = _matrix(t.column("vec").take(pa.array(at)))
-                x /= np.linalg.norm(x, axis=1)[:, None]
-                d = chord(x, units[int(c)])
-                home = d.argmin(axis=1)
-                open_ = d <= d.min(axis=1)[:, None] + 2 * tau + _SLACK
-                mine = own[at]
-                # own rows: later cells as visitors, their own as own
-                open_ &= ~mine[:, None] | (np.arange(d.shape[1])[None, :] >= home[:, None])
-                i, j = np.nonzero(open_)
-                stays = mine[i] & (j == home[i])
-                ids = np.array([hash((int(c), int(q))) for q in range(d.shape[1])], dtype=np.int64)
-                src = pa.array(at[i])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[j]), pa.array(stays), *(t.column(k).take(src).combine_chunks() for k in ("cid", "weight", "vec"))], names=["cell", "own", "cid", "weight", "vec"]
-                )
+def _assign(tau: float):
+    def run(t: pa.Table, pivots: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return t.select(["cell", "own", "cid", "weight", "vec"])
+        order = np.argsort(pivots.column("cid").to_numpy(), kind="stable")
+        points, x = _scaled(_matrix(pivots.column("vec"))[order]), _scaled(_matrix(t.column("vec")))
+        points /= np.linalg.norm(points, axis=1)[:, None]
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        d = chord(x, points)
+        home = d.argmin(axis=1)
+        open_ = d <= d.min(axis=1)[:, None] + 2 * tau + _SLACK
+        mine = t.column("own").to_numpy()
+        # own rows: later cells as visitors, their own as own
+        open_ &= ~mine[:, None] | (np.arange(d.shape[1])[None, :] >= home[:, None])
+        i, j = np.nonzero(open_)
+        cell = int(t.column("cell")[0].as_py())
+        ids, src = np.array([hash((cell, q)) for q in range(d.shape[1])], dtype=np.int64), pa.array(i)
+        return pa.table({"cell": ids[j], "own": mine[i] & (j == home[i]), **{k: t.column(k).take(src) for k in ("cid", "weight", "vec")}})
 
     return run
 
@@ -298,14 +291,15 @@ def linked(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     cosine, in double precision, is ``least`` or more. Null and zero vectors
     and those with a null or non-finite component link with nothing. Equal
     vectors of a label are one class, compared once; n_links counts other rows
-    of the class too. component_id is the smallest vec_id reachable, itself
+    of the class too; vectors may have components of any size, as they are
+    scaled by powers of two first. component_id is the smallest vec_id reachable, itself
     included; kept: it is the row's own. No vector gives no row; other columns
     are ignored. In data without clusters the bounds rule out little, and the
     visits of a label grow with its rows times its cells; results stay exact.
     """
     fine = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     fine &= F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
-    rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<float>").alias("vec"), F.coalesce(fine, F.lit(False)).alias("fine"))
+    rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vec"), F.coalesce(fine, F.lit(False)).alias("fine"))
     good = rows.where("fine")
     classes = good.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "vectors-classes")
