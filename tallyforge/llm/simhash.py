@@ -102,18 +102,30 @@ class BKForest:
                 node = np.concatenate(nodes) if nodes else query
 
 
+#: Entries whose trees are built together; whole shards, as many as fit.
+TOGETHER = 1 << 16
+
+
 def _shard_links(radius: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
-        if not parts:
-            return
-        forest = BKForest(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    def linked(shard: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        forest = BKForest(shard, fp)
         fp, u, v = forest.fp.view(np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         for a, b in forest.links(radius):
             u, v = star(np.concatenate([u, fp[a]]), np.concatenate([v, fp[b]]))
         if len(u):
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come shard after shard; the last shard may go on in the next batch
+        shard, fp = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            shard, fp = (np.concatenate([x, batch.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate((shard, fp)))
+            if len(shard) >= TOGETHER:
+                cut = int(np.searchsorted(shard, shard[-1]))
+                yield from linked(shard[:cut], fp[:cut])
+                shard, fp = shard[cut:], fp[cut:]
+        yield from linked(shard, fp)
+
     return run
 
 
@@ -155,7 +167,7 @@ def shards(distinct: DataFrame, radius: int = RADIUS, most: int = SHARD) -> Data
         out = done.select("shard", "fp") if out is None else out.union(done.select("shard", "fp"))
         if hot is None:
             return out
-        level = keyed.join(hot, "shard", "left_semi")
+        level = materialize(keyed.join(hot, "shard", "left_semi"), "simhash-level")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3, seed: int = 42) -> DataFrame:
@@ -165,12 +177,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3, seed:
     doc_id there. Null and empty texts have fingerprint 0 and link like any
     other; equal texts and repeated rows share a fingerprint and so a group; a
     null doc_id is no smallest one unless a group has no other; extra columns
-    are ignored; no document gives no row. Copies are merged by fingerprint
-    before any pair is looked at.
+    are ignored; no document gives no row; texts of any length are hashed
+    whole. Copies are merged by fingerprint before any pair is looked at. The
+    trees of a shard are built in the task that has the shard, a few at once:
+    all trees together grow with the input, so they are not broadcast.
     """
     prints = materialize(fingerprints(docs, width, seed), "simhash-prints")
     reps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
-    links = shards(reps, radius).repartition("shard").mapInArrow(_shard_links(radius), "u long, v long")
+    links = shards(reps, radius).repartition("shard").sortWithinPartitions("shard").mapInArrow(_shard_links(radius), "u long, v long")
     roots = components(links, "simhash-components")
     linked = roots.select(F.col("u").alias("fp"), F.col("v").alias("root"))
     linked = materialize(linked.union(linked.select("root", "root").distinct()).join(reps, "fp"), "simhash-linked")
@@ -188,8 +202,9 @@ def first_of_each(docs: DataFrame, radius: int = RADIUS, width: int = 3, seed: i
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``docs``, one of each group: that of its smallest doc_id, of several texts the one of least hash; of repeated rows one.
 
-    Only doc_ids that occur more than once are made distinct by a shuffle of
-    whole rows; the rest are kept by a semi-join.
+    Rows are kept by a semi-join with the chosen ids, which shuffles them once
+    unless the ids are few enough to be broadcast; repeated rows are also made
+    distinct.
     """
     chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group").agg(F.min("body").alias("_body"), F.min("doc_id").alias("_doc"))
     chosen = chosen.groupBy("_doc", "_body").agg(F.count("*").alias("_groups"))
