@@ -1,7 +1,9 @@
 """SimHash, embeddings, mixing, packing, URLs and shared pieces, each against a plain version."""
 
 import itertools
+import math
 import random
+import re
 import sys
 import zlib
 from collections import Counter
@@ -118,7 +120,7 @@ def plain_links(rows, least=0.98):
     links = []
     for i, j in itertools.combinations(range(len(rows)), 2):
         if ok[i] and ok[j] and rows[i][2] == rows[j][2] and len(rows[i][1]) == len(rows[j][1]):
-            a, b = (np.array(rows[k][1], np.float32).astype(float) for k in (i, j))
+            a, b = (np.array(rows[k][1], float) / np.abs(rows[k][1]).max() for k in (i, j))
             if a @ b / (np.linalg.norm(a) * np.linalg.norm(b)) >= least:
                 links.append((i, j))
     n = Counter(x for e in links for x in e)
@@ -158,6 +160,23 @@ def test_embeddings(spark, monkeypatch):
     assert covertree.linked(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_vectors_of_any_size(spark):
+    """Components near the ends of double precision, beside ordinary ones of the label."""
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.normal(size=4) * 0.01 + [1, 2, 3, 4]).tolist(), 0) for i in range(8)]
+    rows += [(20, [1e300, 0.0, 0.0, 0.0], 0), (21, [1e-300, 0.0, 0.0, 0.0], 0), (22, [1.7e308] * 4, 0), (23, [5e-324] * 4, 0), (24, [1e300, 2e300, 3e300, 4e300], 0), (25, [1.0, 1.0, 1.0, 1.0 + 1e-9], 0)]
+    got = covertree.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == plain_links(rows)
+
+
+def test_op10_query(spark):
+    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
+    got = QUERIES["op10_embeddings"](spark, "/root/testdata/sf0.001").collect()
+    assert Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == plain_links(rows)
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
+
+
+
 def test_cover_tree_covers_and_finds_all():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 4))
@@ -345,6 +364,54 @@ def test_url_rules_are_mined(spark):
     assert [r["m"] for r in tokens.collect()] == [True, False]
 
 
+def plain_rules(rows, least, most_tokens=4):
+    """Rules by counting every set of tokens of every URL."""
+    n, base = len(rows), sum(b for _, b in rows) / len(rows)
+    times, bad = Counter(), Counter()
+    for url, b in rows:
+        host, path = plain_url(url)
+        words = re.split("[^a-z#\\x80-\\U0010ffff]+", re.sub("[0-9]+", "#", path.lower()))
+        tokens = sorted({f"h:{x}" for x in host.split(".") if x} | {f"p:{x}" for x in words if x})
+        for k in range(1, most_tokens + 1):
+            for t in itertools.combinations(tokens, k):
+                times[t] += 1
+                bad[t] += b
+    often = [t for t in times if times[t] >= max(least, -(-urlfilter.SUPPORT * n // 1))]
+    floor = max(urlfilter.CONFIDENCE, min(urlfilter.LIFT * base, (1 + base) / 2))
+    good = {}
+    for t in often:
+        share = bad[t] / times[t]
+        if share >= floor and share > base:
+            odds = share * math.log(share / base) + ((1 - share) * math.log((1 - share) / (1 - base)) if share < 1 else 0)
+            if len(often) * math.exp(-times[t] * odds) <= urlfilter.CHANCE:
+                good[t] = share
+    return {t for t, c in good.items() if not any(set(u) < set(t) and d >= c for u, d in good.items())}
+
+
+def test_mined_rules_are_those_of_all_sets(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(900):
+        host, top, word, ext = rng.choice(["shop", "spam", "b", "c", "d"]), rng.choice(["com", "net"]), rng.choice(["win", "news", "doc", "x"]), rng.choice(["html", "php", ""])
+        likely = 0.9 if (host, word) == ("spam", "win") else 0.7 if (top, word, ext) == ("net", "x", "php") else 0.15
+        rows.append((f"https://{host}.{top}/{word}/{i}.{ext}", rng.random() < likely))
+    want = plain_rules(rows, urlfilter.LEAST_URLS)
+    got = urlfilter.mine(spark.createDataFrame(rows, "url string, bad boolean"))
+    assert {tuple(sorted(t)) for t, _, _ in got} == want and len(want) > 1
+    # verdicts of pages without a given rule follow the rules
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(not b), 0) for i, (_, b) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    hit = 0
+    for r in urlfilter.judged(pages, labels, given=()).collect():
+        tokens = {f"h:{x}" for x in r["host"].split(".")} | {f"p:{x}" for x in re.split("[^a-z#]+", re.sub("[0-9]+", "#", r["path"].lower())) if x}
+        mined = any(set(t) <= tokens for t in want)
+        assert (r["mined"], r["verdict"]) == (mined, "block" if mined else "allow")
+        hit += mined
+    assert hit > 20
+    # labels that say nothing give no rule
+    assert urlfilter.mine(spark.createDataFrame([(u, rng.random() < 0.25) for u, _ in rows], "url string, bad boolean")) == []
+
+
 def test_url_query(spark):
     urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect()}
     for r in QUERIES["op8_urls"](spark, FOLDER).collect():
