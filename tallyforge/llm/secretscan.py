@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import arrow_rows, materialize, small_batches, table
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
+LEDGER = f"blob binary, rules array<string>, spans {SPANS}"
+#: Setting of the session: where op9_secrets keeps its ledger from run to run. Unset, each run begins one of its own.
+LEDGER_SETTING = "tallyforge.secrets.ledger"
 
 
 @dataclass(frozen=True)
@@ -102,7 +105,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(spans, kinds)], names=["blob", "rules", "spans"])
 
     small_batches(versions.sparkSession)
-    return materialize(todo.mapInArrow(run, f"blob binary, rules array<string>, spans {SPANS}"), "secrets-ledger")
+    return materialize(todo.mapInArrow(run, LEDGER), "secrets-ledger")
 
 
 def findings(versions: DataFrame, ledger: DataFrame, keep: list[str], rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
@@ -126,13 +129,31 @@ def findings(versions: DataFrame, ledger: DataFrame, keep: list[str], rules: tup
 def scanned(docs: DataFrame, keep: list[str] | None = None, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``keep`` (doc_id by default) and spans for every row of ``docs``.
 
-    Null and empty texts have none; equal texts and repeated rows have the
-    same; no document gives no row; other columns are ignored.
+    Null and empty texts have none; texts of any length are scanned whole;
+    equal texts and repeated rows have the same; no document gives no row;
+    other columns are ignored, whatever their names.
     """
     new = scan(docs, ledger, rules)
     return findings(docs, new if ledger is None else ledger.unionByName(new), keep or ["doc_id"], rules)
 
 
+def kept_ledger(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The ledger at ``path``, after what ``versions`` still needs has been scanned and appended to it.
+
+    A first call begins the ledger; a later one scans only blobs and rule
+    versions that it does not name, so the same rows again scan nothing. A job
+    that dies before its append leaves the ledger as it was. One writer at a
+    time.
+    """
+    spark = versions.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    new = scan(versions, spark.read.schema(LEDGER).parquet(path) if known else None, rules, text)
+    if not known or new.head(1):
+        new.write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -151,7 +172,11 @@ def redact(text: Column, spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` with every secret in text replaced by its kind; n_chars, where there is one, follows."""
+    """The rows of ``docs`` with every secret in text replaced by its kind; n_chars, where there is one, follows.
+
+    Null and empty texts stay as they are; repeated rows come out alike; no
+    document gives no row; all columns stay, whatever their names.
+    """
     packed = docs.select(F.struct("*").alias("_row"), "text")
     found = scanned(packed, ["_row"], ledger, rules)
     some = F.size("spans") > 0
@@ -163,7 +188,8 @@ def redacted(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scanned(table(spark, sf_dir, "documents"))
+    docs, path = table(spark, sf_dir, "documents"), spark.conf.get(LEDGER_SETTING, None)
+    found = findings(docs, kept_ledger(docs, path), ["doc_id"]) if path else scanned(docs)
     base = F.filter("spans", lambda s: s["kind"].isin([r.name for r in BASE]))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *(count(r.name) for r in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
