@@ -30,6 +30,24 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", _key().alias("key"), size.alias("size"), _hash().alias("hash"))
 
 
+def _running(df: DataFrame, order: Column, sums: list[str]) -> DataFrame:
+    """``df`` with rank (from 1 in ``order``) and, for each of ``sums``, before_ and its sum over the rows before.
+
+    Rows are dealt by ranges and summed range by range; the only window
+    without a key is over one row per range.
+    """
+    zero = F.lit(0).cast("long")
+    dealt = df.repartitionByRange(order).sortWithinPartitions(order).select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_at"))
+    rows = materialize(dealt, "mixing-ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_range").agg(F.count("*").alias("_n"), *(F.sum(c).alias(f"_{c}") for c in sums))
+    starts = totals.select("_range", F.coalesce(F.sum("_n").over(before), zero).alias("_n"), *(F.coalesce(F.sum(f"_{c}").over(before), zero).alias(f"_{c}") for c in sums))
+    inside = Window.partitionBy("_range").orderBy("_at")
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumns({"_rank": F.row_number().over(inside), **{f"_in_{c}": F.coalesce(F.sum(c).over(earlier), zero) for c in sums}}).join(starts, "_range")
+    return out.select(*df.columns, (F.col("_n") + F.col("_rank")).alias("rank"), *((F.col(f"_{c}") + F.col(f"_in_{c}")).alias(f"before_{c}") for c in sums))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TIMES) -> DataFrame:
     """source, key, source_size, target, times, rest: one row per source.
 
@@ -38,24 +56,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     excess goes to the others by weight. Taken in the order of size by weight,
     a source stops if its share of what those before it leave is above its
     limit. times and rest: whole copies of the source in its target, and the
-    words beyond, rounded.
+    words beyond, rounded. No document gives no source.
     """
     sources = sizes.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(len(weights))) + 1).cast("int"))
-    ranked = sources.withColumn("weight", w.cast("long")).withColumn("cap", most * F.col("source_size"))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "key")
-    ranked = ranked.select(
-        "*",
-        F.sum("source_size").over(Window.partitionBy()).alias("total"),
-        F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("used"),
-        F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("open"),
-        F.row_number().over(order).alias("rank"),
-    )
-    share = (F.col("total") - F.col("used")).cast("double") * F.col("weight") / F.col("open")
-    ranked = ranked.withColumn("stops", share > F.col("cap"))
-    free = F.min(F.when(~F.col("stops"), F.struct("rank", "used", "open"))).over(Window.partitionBy())
-    ranked = ranked.withColumn("free", free)
-    target = F.when(F.col("stops"), F.col("cap").cast("double")).otherwise((F.col("total") - F.col("free.used")).cast("double") * F.col("weight") / F.col("free.open"))
+    # keys are "n" for null and "s" with the source else, so null is put last by itself
+    placed = _running(sources, F.col("source").asc_nulls_last(), [])
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
+    weighed = placed.withColumn("weight", w.cast("long")).withColumn("cap", most * F.col("source_size")).drop("rank")
+    order = F.struct((F.col("cap") / F.col("weight")).alias("r"), "key").asc()
+    ranked = materialize(_running(weighed, order, ["cap", "weight"]), "mixing-ranked")
+    total, weight = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    left, open_ = F.lit(total) - F.col("before_cap"), F.lit(weight) - F.col("before_weight")
+    ranked = ranked.withColumn("stops", left.cast("double") * F.col("weight") / open_ > F.col("cap"))
+    free = ranked.where("not stops").agg(F.min(F.struct("rank", "before_cap", "before_weight")).alias("f")).select("f.*").first()
+    used, gone = (free["before_cap"], free["before_weight"]) if free["rank"] is not None else (0, 0)
+    target = F.when(F.col("stops"), F.col("cap").cast("double")).otherwise(F.lit(total - used).cast("double") * F.col("weight") / F.lit(weight - gone))
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     out = ranked.withColumn("target", target).withColumn("times", times)
     return out.select("key", "source_size", "target", "times", F.round(F.col("target") - F.col("times") * F.col("source_size")).cast("long").alias("rest"))
@@ -100,8 +115,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TI
     The taken words of a source miss its target by half of the words of one
     36-bit hash at most. Null texts and texts without words have size 0 and
     take 0; a null source is a source, and a null doc_id hashes as an empty
-    one; rows of one doc_id share a hash and go together; no document gives no
-    row; other columns are ignored. Reruns agree.
+    one; texts of any length are counted whole; rows of one doc_id share a hash
+    and go together; no document gives no row; other columns are ignored.
+    Reruns agree.
     """
     rows = materialize(sized(docs), "mixing-sizes")
     goals = thresholds(rows, weights, most)
