@@ -196,8 +196,8 @@ def found(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``keep`` (doc_id by default), email, ip, card, phone (array<struct<start, end>>) and added (with kind) for every row of ``docs``.
 
     A null text counts as empty and has no span; a match that fails its test is
-    used up; equal texts and repeated rows come out alike; without candidates
-    nothing is added; no document gives no row; other columns are ignored.
+    used up; texts of any length are searched whole; equal texts and repeated
+    rows come out alike; without candidates nothing is added; no document gives no row; other columns are ignored.
     """
     keep = keep or ["doc_id"]
     rows = materialize(spans(docs, keep), "pii-spans")
@@ -219,4 +219,4 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = found(table(spark, sf_dir, "documents"))
     base = F.concat(*(F.transform(k, told(k)) for k in BASE))
     added = F.concat(*(F.transform(F.filter("added", _of(k)), told(k)) for k in CANDIDATES))
-    return rows.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE), F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, added), ",").alias("spans"))
+    return rows.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE), F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, added), ",").alias("spans"), F.size(F.concat(base, added)).cast("long").alias("n_spans"))
