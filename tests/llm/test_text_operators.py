@@ -116,6 +116,37 @@ def test_language_cases_and_spans(spark):
     assert {r["lang_pred"] for r in langid.identify(X.documents(spark, clash=True), nothing).collect()} == {"und"}
 
 
+def test_many_languages(spark):
+    """More languages than a byte holds, each with words of its own."""
+    rows = [(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{x}" for x in ("qala", "zento", "wurim", "pexi", "vodu") * 8), f"l{i:03}", "s", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, X.DOCUMENT)
+    got = langid.identify(docs, langid.train(docs)).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {r[0]: r[2] for r in rows}
+
+
+def test_a_script_that_nothing_was_learned_of(spark):
+    rows = [(i, X.prose(i, 40), "en", "s", 0) for i in range(4)] + [(i, "le chat noir dort sur la table verte " * 3, "fr", "s", 0) for i in range(4, 6)]
+    model = langid.train(spark.createDataFrame(rows, X.DOCUMENT))
+    cases = [(1, "привет как дела", None, None, 0), (2, "привет the of and", None, None, 0)]
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(cases, X.DOCUMENT), model).collect()}
+    assert (got[1]["lang_pred"], got[1]["score"]) == ("en", 0.0)
+    assert got[2]["lang_pred"] == "en" and got[2]["score"] == pytest.approx(8 / 14)
+
+
+def test_word_scores_are_sums_of_grams(spark):
+    """Blocks that cut words give the same sums as whole words."""
+    rows = [(i, X.prose(i, 60) + " été Straße αβγ", "en" if i % 2 else "de", "s", 0) for i in range(6)]
+    model = langid.train(spark.createDataFrame(rows, X.DOCUMENT))
+    words = ["the", "straße", "αβγ", "x", "été" * 9, "a" * 50, "b"]
+    whole, kept = model.scores(words), langid._BLOCK
+    try:
+        langid._BLOCK = 7
+        cut = model.scores(words)
+    finally:
+        langid._BLOCK = kept
+    assert np.allclose(whole[0], cut[0], atol=1e-4) and (whole[1] == cut[1]).all()
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
