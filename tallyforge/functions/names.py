@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyforge.functions import vocab as V
-from tallyforge.functions.text import collapse, replace_first
+from tallyforge.functions.text import replace_first
 
 FLAGS = [
     "bios", "device", "aftermarket", "alpha", "alternate", "bad", "beta", "bootleg", "cracked", "debug", "demo", "enhancement_chip", "fixed", "homebrew", "mia",
@@ -40,10 +43,15 @@ def flags(name: Column, categories: Column, manufacturer: Column, bios: Column,
         "trained": tag("trainer"),
     }
     out |= {k: tag(k) for k in FLAGS if k not in out and k != "retail"}
-    out["retail"] = ~_any(out[k] for k in FLAGS if k not in _NO_MATTER)
+    out["retail"] = retail(out)
     return {k: out[k] for k in FLAGS}
 
 
+def retail(flag: dict[str, Column]) -> Column:
+    """None of the flags that a retail game cannot have."""
+    return ~_any(flag[k] for k in FLAGS if k not in _NO_MATTER)
+
+
 def _any(columns) -> Column:
     out = F.lit(False)
     for c in columns:
@@ -108,16 +116,33 @@ def languages(name: Column, found_regions: Column, override: Column | None = Non
     return out.otherwise(by_region)
 
 
+def _stripper(rules: list[tuple[str, str, int]]):
+    """A function of a column of names: each (pattern, replacement, most matches) in order, then spaces collapsed.
+
+    As expressions, so many replacements are more code than one compiled method
+    may have; in Arrow batches they cost a pass over the distinct names.
+    """
+
+    def strip(names: pd.Series) -> pd.Series:
+        compiled = [(re.compile(p, re.ASCII), by, most) for p, by, most in rules]
+        known: dict[str | None, str | None] = {None: None}
+        for name in names.dropna().unique():
+            out = name
+            for pattern, by, most in compiled:
+                out = pattern.sub(by, out, count=most)
+            known[name] = re.sub(r"^\s+|\s+$", "", re.sub("  +", " ", out), flags=re.ASCII)
+        return names.map(known)
+
+    return F.pandas_udf(strip, "string")
+
+
 def strip_region_language(name: Column) -> Column:
-    for pattern in V.REGION_LANGUAGE_TAGS:
-        name = replace_first(name, pattern)
-    return collapse(name)
+    return _stripper([(p, "", 1) for p in V.REGION_LANGUAGE_TAGS])(name)
 
 
 def strip_variants(name: Column) -> Column:
-    for pattern, by in V.VARIANT_TAGS:
-        name = F.regexp_replace(name, pattern, "") if pattern in V.ALL_MATCHES else replace_first(name, pattern, by)
-    return collapse(name)
+    group = lambda by: re.sub(r"\{(\d+)\}", r"\\g<\1>", by)
+    return _stripper([(p, group(by), 0 if p in V.ALL_MATCHES else 1) for p, by in V.VARIANT_TAGS])(name)
 
 
 def strip_track(name: Column) -> Column:

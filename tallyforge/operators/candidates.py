@@ -130,3 +130,136 @@ def raw_reason(facts: dict[str, Column], merged_disc: Column | None = None) -> C
             fact &= ~merged_disc
         out = F.when(fact, reason).otherwise(out)
     return out
+
+
+def legal_inputs(matched: DataFrame, raw_writing: Column | bool, extractable: tuple[str, ...] = ("zip", "tar", "gzip"), meaningful: tuple[str, ...] = ("zip", "tar", "rar", "7z")) -> DataFrame:
+    """Matches (container, entry, wanted_entry, is_disk) whose input can serve its rom.
+
+    Unless archives are written as they are, an entry must be one that can be
+    read out, but for disks. Where they are, an entry's path must be the wanted
+    one in containers whose paths mean something; a nameless rom (null
+    wanted_entry) takes any.
+    """
+    raw = F.lit(raw_writing) if isinstance(raw_writing, bool) else raw_writing
+    inside = F.col("entry").isNotNull()
+    unreadable = ~raw & inside & ~F.coalesce("is_disk", F.lit(False)) & ~F.col("container").isin(*extractable)
+    misplaced = raw & inside & F.col("container").isin(*meaningful) & F.coalesce(F.col("wanted_entry") != F.col("entry"), F.lit(False))
+    return matched.where(~(unreadable | misplaced))
+
+
+def writable(candidates: DataFrame) -> DataFrame:
+    """Candidates (game_ord, can_be_input) all of whose inputs may be read from."""
+    return candidates.withColumn("_can", F.bool_and("can_be_input").over(Window.partitionBy("game_ord"))).where("_can").drop("_can")
+
+
+def divisions(roms: DataFrame, entries: DataFrame, by: list[str], cue_may_lack: bool = False) -> DataFrame:
+    """``by`` and archive: archives that hold every rom of a game, or of a game's disc where ``by`` names one.
+
+    All roms count, also equal ones, so this is equality of the lists of
+    contents. With ``cue_may_lack``, cue sheets may be missing from disc
+    images, in which there are none.
+    """
+    cue = F.lower("name").endswith(".cue")
+    sizes = roms.groupBy(*by).agg(F.count("*").alias("_all"), F.count_if(~cue).alias("_tracks"))
+    holders = entries.groupBy("archive", "rom_hash").agg(F.bool_or(F.col("container") == "chd").alias("_image"))
+    found = roms.join(holders, "rom_hash").groupBy(*by, "archive").agg(F.count("*").alias("_n"), F.count_if(~cue).alias("_n_tracks"), F.bool_or("_image").alias("_image"))
+    whole = F.col("_n") == F.col("_all")
+    if cue_may_lack:
+        whole |= F.col("_image") & (F.col("_n_tracks") == F.col("_tracks")) & (F.col("_tracks") > 0)
+    return found.join(sizes, by).where(whole).select(*by, "archive")
+
+
+def raw_facts(rows: DataFrame, dir2dat: bool = False, zip_dat: bool = False, extracting: bool = False, zipping: bool = False, zip_format: str = "torrentzip") -> DataFrame:
+    """game_ord, reason: why a game's archive cannot be used as it is, the first of RAW_REASONS that holds; null: it can.
+
+    ``rows``, one per rom and chosen input: game_ord, rom_<digest>, header,
+    <digest>_wo, paddings, container, archive, entry, wanted_entry, out_path,
+    zip_kind (torrentzip, rvzstd or null) and merged_disc. Reasons of one rom
+    hold for its game; the reasons from ``several_archives`` on are about the
+    whole game, and do not count for merged discs that write several files.
+    """
+    anyone = lambda c: F.bool_or(F.coalesce(c, F.lit(False)))
+    digests = ("crc32", "md5", "sha1", "sha256")
+    other = F.lit(False)
+    padded = F.lit(False)
+    for d in digests:
+        other |= F.coalesce(F.col(f"{d}_wo").isNotNull() & ~F.col(f"{d}_wo").eqNullSafe(F.col(f"rom_{d}")), F.lit(False))
+        padded |= F.coalesce(F.exists("paddings", lambda p, d=d: p[d] == F.col(f"rom_{d}")), F.lit(False))
+    zipped = F.lit(zipping)
+    is_zip = F.col("container") == "zip"
+    per = rows.groupBy("game_ord").agg(
+        anyone(F.col("entry").isNull()).alias("not_entry"),
+        anyone(F.col("header").isNotNull() & other).alias("header_differs"),
+        anyone(padded).alias("padding_wanted"),
+        anyone(zipped & ~is_zip).alias("zip_from_other"),
+        anyone(F.col("container").isin("zip", "tar", "rar", "7z") & (F.col("wanted_entry") != F.col("entry"))).alias("entry_path_differs"),
+        (F.countDistinct("archive") != 1).alias("several_archives"),
+        (anyone(F.col("merged_disc")) & (F.count("*") > 1) & (F.countDistinct("out_path") > 1)).alias("_free"),
+        (zipped & F.bool_and(is_zip) & anyone(F.col("zip_kind").isNull())).alias("zip_unstructured"),
+        (zipped & F.bool_and(is_zip) & F.lit(zip_format == "torrentzip") & anyone(F.col("zip_kind") != "torrentzip")).alias("zip_not_torrentzip"),
+        (zipped & F.bool_and(is_zip) & F.lit(zip_format == "rvzstd") & anyone(F.col("zip_kind") != "rvzstd")).alias("zip_not_rvzstd"),
+    )
+    facts = {x: F.col(x) for x in per.columns if x in RAW_REASONS} | {"dir2dat": F.lit(dir2dat), "zip_dat": F.lit(zip_dat), "extracted": F.lit(extracting)}
+    return per.select("game_ord", raw_reason(facts, F.col("_free")).alias("reason"))
+
+
+def as_archives(rows: DataFrame, reasons: DataFrame, writing: bool, extracting: bool, zipping: bool) -> DataFrame:
+    """``rows`` (game_ord, entry, is_disk ...) with whole: the input is its archive, to be copied as it is.
+
+    Games without a reason, and disks always, use the whole archive. With a
+    reason, entries that are written but neither extracted nor zipped are
+    dropped; other inputs are used one by one.
+    """
+    inside, disk = F.col("entry").isNotNull(), F.coalesce("is_disk", F.lit(False))
+    whole = inside & (F.col("reason").isNull() | disk)
+    lost = inside & ~whole & F.lit(writing and not extracting and not zipping)
+    return rows.join(reasons, "game_ord", "left").withColumn("whole", whole).where(~lost).drop("reason")
+
+
+def only_cues_missing(roms: DataFrame, found: DataFrame) -> DataFrame:
+    """game_ord of cue and bin games of which nothing but cue sheets is missing: disc images hold no sheet."""
+    name = F.lower("name")
+    cue, track = name.endswith(".cue"), name.endswith(".bin")
+    have = found.select("game_ord", "name").distinct().withColumn("_found", F.lit(True))
+    rows = roms.join(have, ["game_ord", "name"], "left")
+    ok = rows.groupBy("game_ord").agg((F.bool_or(cue) & F.bool_or(track) & F.bool_and(cue | track) & F.bool_and(F.col("_found").isNotNull() | cue)).alias("_ok"))
+    return ok.where("_ok").select("game_ord")
+
+
+def output_digests(rows: DataFrame, writing: bool, zipping: bool) -> DataFrame:
+    """``rows`` with out_size, out_<digest> and out_kind (entry of a zip, or file).
+
+    Raw bytes, else those without the header that is to go, else those of the
+    one padding that is left. Zipped roms, and zip entries when nothing is
+    written, are entries unless the input is a whole archive.
+    """
+    stripped, padded = F.col("header").isNotNull(), F.size(F.coalesce("paddings", F.array().cast(rows.schema["paddings"].dataType))) == 1
+    choose = lambda raw, p: F.when(padded, F.get("paddings", F.lit(0))[p]).when(stripped, F.col(f"{raw}_wo")).otherwise(F.col(raw))
+    entry = (F.lit(zipping) & ~F.col("whole")) | (F.lit(not writing) & (F.col("container") == "zip") & F.col("entry").isNotNull())
+    return rows.withColumns({"out_size": choose("size", "padded_size"), **{f"out_{d}": choose(d, d) for d in ("crc32", "md5", "sha1", "sha256")}, "out_kind": F.when(entry, "entry").otherwise("file")})
+
+
+def with_archive_hashes(candidates: DataFrame, files: DataFrame, needed: bool) -> DataFrame:
+    """Candidates with the digests of their whole archives, from ``files`` (path, crc32, size) read only if outputs are tested afterwards."""
+    if not needed:
+        return candidates.withColumns({"archive_size": F.lit(None).cast("long"), "archive_crc32": F.lit(None).cast("string")})
+    sums = files.select(F.col("path").alias("archive"), F.col("size").alias("archive_size"), F.col("crc32").alias("archive_crc32")).distinct()
+    return candidates.join(sums, "archive", "left")
+
+
+def output_dirs(outputs: DataFrame) -> DataFrame:
+    """dir: the folders that outputs are written to, for cleaning."""
+    return outputs.select(F.regexp_replace("out_path", "/[^/]*$", "").alias("dir")).distinct()
+
+
+def write_order(candidates: DataFrame) -> list[Column]:
+    """What candidates (n_roms, name) are written by: those of few roms first, then by name."""
+    return [F.col("n_roms"), F.col("name")]
+
+
+def candidates_of(games: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``games`` (game_ord, name, game_hash) with candidate: by hash, else the first that is alike in name and description."""
+    by_hash = candidates.groupBy("game_hash").agg(F.min("candidate").alias("_strong"))
+    by_name = candidates.groupBy("name", "description").agg(F.min("candidate").alias("_weak"))
+    rows = games.join(by_hash, "game_hash", "left").join(by_name, ["name", "description"], "left")
+    return rows.withColumn("candidate", F.coalesce("_strong", "_weak")).drop("_strong", "_weak")

@@ -16,7 +16,11 @@ def with_names(games: DataFrame) -> DataFrame:
     keep = [c for c in games.columns if c not in {f"is_{k}" for k in flag}]
     override = lambda c: F.col(c) if c in games.columns else None
     found = N.regions(F.col("name"), override("region"), override("release_regions"))
-    out = games.select(*keep, *(v.alias(f"is_{k}") for k, v in flag.items()), N.game_type(flag).alias("game_type"), N.revision(F.col("name")).alias("revision"), found.alias("regions"))
+    # retail and the type read the finished flags, whose patterns so stand in the plan once
+    plain = games.select(*keep, *(v.alias(f"is_{k}") for k, v in flag.items() if k != "retail"), N.revision(F.col("name")).alias("revision"), found.alias("regions"))
+    told = {k: F.col(f"is_{k}") for k in flag if k != "retail"}
+    told["retail"] = N.retail(told)
+    out = plain.select(*plain.columns, told["retail"].alias("is_retail"), N.game_type(told).alias("game_type"))
     return out.withColumn("languages", N.languages(F.col("name"), F.col("regions"), override("language"), override("release_languages")))
 
 
@@ -63,6 +67,23 @@ def parent_key(id_: Column, clone_of_id: Column, clone_of: Column, name: Column)
     return F.coalesce(clone_of_id, id_, clone_of, name)
 
 
+def parent_groups(games: DataFrame) -> DataFrame:
+    """parent_key, game_ord, is_parent from id, clone_of_id, name and clone_of.
+
+    First games that are no clones found groups, by id where they have one,
+    else by name; later ones of the same key join. Then clones join the group
+    that they name, or found it; one without an id founds none by id and is
+    left out. A game with an id that names a parent only by name is in both.
+    """
+    own = F.when(F.col("clone_of_id").isNull(), F.when(F.col("id").isNotNull(), F.concat(F.lit("id:"), "id")).when(F.col("clone_of").isNull(), F.concat(F.lit("name:"), "name")))
+    named = F.coalesce(F.concat(F.lit("id:"), "clone_of_id"), F.concat(F.lit("name:"), "clone_of"))
+    both = F.filter(F.array(F.struct(F.lit(0).alias("step"), own.alias("key")), F.struct(F.lit(1).alias("step"), named.alias("key"))), lambda x: x["key"].isNotNull())
+    rows = games.select("game_ord", F.col("id").isNotNull().alias("_id"), F.explode(both).alias("g")).select("game_ord", "_id", F.col("g.key").alias("parent_key"), F.struct("g.step", "game_ord").alias("_at"))
+    founds = F.when((F.col("_at.step") == 0) | F.col("_id") | F.startswith("parent_key", F.lit("name:")), F.col("_at"))
+    first = rows.groupBy("parent_key").agg(F.min(founds).alias("_first"))
+    return rows.join(first, "parent_key").where("_at >= _first").select("parent_key", "game_ord", (F.col("_at") == F.col("_first")).alias("is_parent"))
+
+
 def has_parent_clone_info(games: DataFrame, by: list[str]) -> DataFrame:
     """``by`` and has_parents: there are groups, and fewer than games."""
     return games.groupBy(*by).agg((F.countDistinct("parent_key") != F.count("*")).alias("has_parents"))

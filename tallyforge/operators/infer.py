@@ -58,8 +58,9 @@ def cascade(files: DataFrame, sheets: DataFrame, root_depth: int = 1) -> DataFra
 
 def by_input(files: DataFrame, inputs: list[str]) -> DataFrame:
     """A row per file and input path that it lies under."""
-    roots = files.sparkSession.createDataFrame([(p.rstrip("/"),) for p in inputs], "dat string")
-    return files.join(F.broadcast(roots), F.startswith("path", F.concat("dat", F.lit("/"))))
+    prefixes = F.array(*(F.lit(p.rstrip("/") + "/") for p in inputs))
+    under = F.filter(prefixes, lambda p: F.startswith(F.col("path"), p))
+    return files.select("*", F.explode(under).alias("dat")).withColumn("dat", F.regexp_replace("dat", "/$", ""))
 
 
 def enrich(files: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,9 +150,20 @@ def with_extension(name: Column, ext: Column, mode: str = "auto") -> Column:
     return F.when(wanted, new).otherwise(name)
 
 
-def any_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns, F.lit(False))
+def size_totals(roms: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, n_roms, n_bytes."""
+    return roms.groupBy(*by).agg(F.count("*").alias("n_roms"), F.coalesce(F.sum("size"), F.lit(0)).alias("n_bytes"))
+
+
+def files_by_path(files: DataFrame) -> DataFrame:
+    """path, n_entries, n_bytes: how many entries a file has."""
+    return files.groupBy("path").agg(F.count("*").alias("n_entries"), F.coalesce(F.sum("size"), F.lit(0)).alias("n_bytes"))
 
 
-def common_name(path: Column) -> Column:
-    return basename(path)
+def moved_inputs(moved: DataFrame, files: DataFrame, rewritten: bool) -> DataFrame:
+    """path: all files with a content that was moved; if outputs were extracted or zipped only those of the container that was read.
+
+    ``moved`` and ``files``: path, file_hash, container.
+    """
+    contents = moved.select("file_hash", *(["container"] if rewritten else [])).distinct()
+    return files.join(contents, contents.columns, "left_semi").select("path").distinct()

@@ -70,6 +70,33 @@ def merged(games: DataFrame, roms: DataFrame) -> DataFrame:
     return best.select(F.col("parent_ord").alias("game_ord"), "rom_hash", "r.name", "r.size")
 
 
+def may_merge(games: DataFrame, mode: str | None, by: list[str]) -> DataFrame:
+    """``by`` of the catalogs that are merged or split at all: a mode is given, and some game has a parent."""
+    told = games.groupBy(*by).agg(F.count("*").alias("_n"), F.countDistinct("parent_key").alias("_parents"))
+    return told.where(F.lit(mode is not None) & (F.col("_n") != F.col("_parents"))).select(*by)
+
+
+def without_bios_roms(games: DataFrame, roms: DataFrame) -> DataFrame:
+    """Roms that a game's BIOS does not have: of the game at the end of its chain of rom_of all, or if that is no BIOS those marked ``bios``.
+
+    Games whose chain leaves the catalog or runs in a circle keep all.
+    """
+    ends = roots(games).where("root is not null and root <> game_ord")
+    theirs = roms.join(games.select("game_ord", "is_bios"), "game_ord").where("is_bios or bios is not null")
+    have = theirs.select(F.col("game_ord").alias("root"), F.col("name").alias("_name"), F.col("rom_hash").alias("_hash"))
+    name = F.coalesce("merge", "name") if "merge" in roms.columns else F.col("name")
+    mine = roms.join(ends, "game_ord", "left").withColumn("_wanted", name)
+    return mine.join(have, [mine["root"] == have["root"], mine["_wanted"] == have["_name"], mine["rom_hash"] == have["_hash"]], "left_anti").select(*roms.columns)
+
+
+def merged_disks(games: DataFrame, disks: DataFrame) -> DataFrame:
+    """Disks of merged sets: those of all games of a parent_key under its parent, the first of each name."""
+    first = games.groupBy("parent_key").agg(F.min_by("game_ord", F.struct(F.col("clone_of").isNotNull().cast("int"), "game_ord")).alias("parent_ord"))
+    rows = disks.join(games.join(first, "parent_key").select("game_ord", "parent_ord"), "game_ord")
+    order = F.struct((F.col("game_ord") == F.col("parent_ord")).cast("int"), "game_ord", "rom_ord")
+    return rows.groupBy("parent_ord", "name").agg(F.min_by("rom_hash", order).alias("rom_hash")).select(F.col("parent_ord").alias("game_ord"), "name", "rom_hash")
+
+
 def disc_groups(games: DataFrame) -> DataFrame:
     """title, game_ords in order, n_discs: games that differ only in their disc or track."""
     return games.groupBy(N.strip_disc(F.col("name")).alias("title")).agg(F.array_sort(F.collect_list("game_ord")).alias("game_ords"), F.count("*").alias("n_discs"))

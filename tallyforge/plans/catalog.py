@@ -8,9 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REGION_TAGS = [" (USA)", " (Europe)", " (Japan)", " (World)", " (USA, Europe)", " (Germany)", " (France)", " (J)", " (Spain)", ""]
+from tallyforge.functions import vocab as V
+
+#: Each region's name once, a few pairs and short codes, and none.
+REGION_TAGS = [f" ({name})" for _, name, _, _ in V.REGIONS] + [" (USA, Europe)", " (Japan, USA)", " (J)", " (U)", " (PAL)", " (DE)", "", ""]
 REVISION_TAGS = ["", " (Rev 1)", " (Rev B)", "", " (Rev 2.1)", " (RE2)", " v1.2 x"]
-FLAG_TAGS = ["", " (Beta)", "", " (Demo)", " [!]", "", " [b1]", " (Proto)", " (En,Fr,De)", " (Unl)", " [h1]", " (Alt 1)", "", " (Sample)", " (Aftermarket)", " (Pirate)", " [T+Eng]", " (Ger-Fre)", "", " [BIOS]", " (Disc 1)", " (Disc 2)", ""]
+#: Each kind of tag that a flag reads at least once, discs and tracks, and none.
+FLAG_TAGS = [
+    "", " (Beta)", "", " (Demo)", " [!]", "", " [b1]", " (Proto)", " (En,Fr,De)", " (Unl)", " [h1]", " (Alt 1)", "", " (Sample)", " (Aftermarket)", " (Pirate)", " [T+Eng]", " (Ger-Fre)", "", " [BIOS]", " (Disc 1)", " (Disc 2)", "",
+    " (Alpha)", " [cr]", " (Debug)", " (Enhancement Chip)", " [f1]", " (Homebrew)", " [MIA]", " [o1]", " [!p]", " [p2]", " (Test Program)", " (Bung)", " [t1]", " [c]", " (Hack)", " (Kiosk)", " (Track 1)", " (Track 02 of 12)", "", "",
+]
 
 
 def _pick(words: list[str], key: Column) -> Column:
@@ -58,7 +65,11 @@ def roms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per kept line item: path, entry, container, digests, size, and whether it is in the output folder."""
+    """One row per kept line item: path, entry, container, digests, size, and whether it is in the output folder.
+
+    The inventory lacks every seventh part and some copies of every fifth, so
+    that catalogs have roms that no file matches.
+    """
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), "p_size")
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_partkey % 7 <> 0 and not (l_partkey % 5 = 0 and l_linenumber % 3 = 1)").join(part, "l_partkey")
     i = F.col("l_linenumber") % 3

@@ -104,7 +104,7 @@ def test_archives(spark, tmp_path):
     crc = f"{zlib.crc32(b'one' + bytes([10])):08x}"
     for key in (("a.zip", "one"), ("b.tar", "one"), ("d.gz", "d"), ("e.rom", None), ("f.bin", "one")):
         assert found[key]["crc32"] == crc and found[key]["sha1"] == "c7059bb19433cc3cabaa6236c83d56668a843dd2"
-    assert ("c.tar.gz", "two") in found and not any(k[0] == "invalid.zip" for k in found)
+    assert ("c.tar.gz", "two") in found and not found["invalid.zip", None]["supported"]
     assert found["g.7z", None]["supported"] is False
     chds = sorted((r["size"], r["sha1"]) for r in rows if r["path"].endswith("h.chd"))
     assert chds == [(0, "02" * 20), (4096, "01" * 20)]
@@ -113,6 +113,35 @@ def test_archives(spark, tmp_path):
     assert quick["one"]["crc32"] == crc and quick["one"]["sha1"] is None
 
 
+def test_nothing_vanishes(spark, tmp_path):
+    """Much packed entries have every digest, broken archives a row, and only wanted digests are made."""
+    zeros = bytes(2 << 20)
+    for name, how in (("lzma.zip", zipfile.ZIP_LZMA), ("bz.zip", zipfile.ZIP_BZIP2)):
+        with zipfile.ZipFile(tmp_path / name, "w", how) as z:
+            z.writestr("zeros.bin", zeros)
+            z.writestr("__MACOSX", b"x")
+    (tmp_path / "broken.zip").write_bytes(b"PK\x03\x04 not a zip")
+    (tmp_path / "late.bin").write_bytes(bytes(90_000) + b"tail")
+    files = A.scan_files(spark, str(tmp_path))
+    rows = {(r["path"].rsplit("/", 1)[-1], r["entry"]): r for r in A.without_junk(A.scan_entries(files)).collect()}
+    assert set(rows) == {("lzma.zip", "zeros.bin"), ("bz.zip", "zeros.bin"), ("broken.zip", None), ("late.bin", None)}
+    assert {rows[k]["sha1"] for k in rows if k[1]} == {hashlib.sha1(zeros).hexdigest()}
+    assert not rows["broken.zip", None]["supported"] and rows["broken.zip", None]["sha1"]
+    few = {(r["path"].rsplit("/", 1)[-1], r["entry"]): r for r in A.scan_entries(files, bits=0x101, itself=True).collect()}
+    assert few["bz.zip", None]["sha1"] and few["bz.zip", "zeros.bin"]["crc32"] and not any(r["md5"] or r["sha256"] for r in few.values())
+    only = {r["entry"]: r for r in A.scan_entries(files.where("path like '%lzma.zip'"), bits=1).collect()}
+    assert only["zeros.bin"]["crc32"] == f"{zlib.crc32(zeros):08x}" and only["zeros.bin"]["sha1"] is None
+
+
+def test_emptied_folders(spark):
+    files = spark.createDataFrame([("in/a/b/1",), ("in/a/2",), ("in/c/d/3",), ("out/4",)], "path string")
+    gone = files.where("path in ('in/a/b/1', 'in/c/d/3')")
+    names = lambda df: sorted(r["dir"] for r in df.collect())
+    assert names(A.folders_below(files, ["in"])) == ["in/a", "in/a/b", "in/c", "in/c/d"]
+    assert names(A.emptied_folders(files, gone, ["in/"])) == ["in/a/b", "in/c", "in/c/d"]
+    assert names(A.emptied_folders(files, gone, ["in"], "never")) == []
+
+
 def test_headers_signatures_and_padding(spark):
     body = b"NES\x1a" + bytes(12) + b"data"
     row = S.with_headers(spark.createDataFrame([("a.nes", bytearray(body)), ("b", bytearray(b"one\n"))], "path string, content binary")).orderBy("path").collect()
@@ -149,7 +178,10 @@ def _patches():
     xor = bytes(a ^ b for a, b in zip(BEFORE, AFTER.ljust(7, b"\0"), strict=True))
     ups = _sealed(b"UPS1" + _beat(7) + _beat(6) + _beat(0) + xor[:6].split(b"\0")[0] + b"\0", BEFORE, AFTER)
     yield "bps", bps, AFTER
-    yield "ups", ups, None
+    yield "ups", ups, AFTER
+    yield "ups", _sealed(b"UPS1" + _beat(7) + _beat(7) + _beat(2) + bytes([ord("f") ^ ord("X")]) + b"\0" + _beat(1) + bytes([ord("e") ^ ord("Y")]) + b"\0", BEFORE, b"beXorY\n"), b"beXorY\n"
+    yield "ips", b"PATCH" + b"\0\0\x01\0\x01Q" + b"EOF" + b'{"title": "t"}', b"bQfore\n"
+    yield "ppf", b"PPF20\x01" + bytes(50) + struct.pack("<I", 7) + bytes(1024) + struct.pack("<IB", 2, 2) + b"YY", b"beYYre\n"
     yield "ips", b"PATCH" + b"\0\0\0\0\x02AB" + b"\0\0\x04\0\0\0\x02z" + b"EOF" + b"\0\0\x06", b"ABfozz"
     yield "ips", b"IPS32" + b"\0\0\0\x01\0\x01X" + b"EEOF", b"bXfore\n"
     yield "ppf", b"PPF30\x02" + bytes(50) + bytes(4) + struct.pack("<QB", 2, 2) + b"YY", b"beYYre\n"
