@@ -152,23 +152,28 @@ def writable(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("_can", F.bool_and("can_be_input").over(Window.partitionBy("game_ord"))).where("_can").drop("_can")
 
 
-def divisions(roms: DataFrame, entries: DataFrame, by: list[str], cue_may_lack: bool = False) -> DataFrame:
+def divisions(roms: DataFrame, held: DataFrame, by: list[str], cue_may_lack: bool = False) -> DataFrame:
     """``by`` and archive: archives that hold every rom of a game, or of a game's disc where ``by`` names one.
 
-    All roms count, also equal ones, so this is equality of the lists of
+    ``held``: ``by``, rom_ord, archive, container for every rom that an archive
+    has. All roms count, also equal ones, so this is equality of the lists of
     contents. With ``cue_may_lack``, cue sheets may be missing from disc
     images, in which there are none.
     """
     cue = F.lower("name").endswith(".cue")
     sizes = roms.groupBy(*by).agg(F.count("*").alias("_all"), F.count_if(~cue).alias("_tracks"))
-    holders = entries.groupBy("archive", "rom_hash").agg(F.bool_or(F.col("container") == "chd").alias("_image"))
-    found = roms.join(holders, "rom_hash").groupBy(*by, "archive").agg(F.count("*").alias("_n"), F.count_if(~cue).alias("_n_tracks"), F.bool_or("_image").alias("_image"))
+    holds = held.groupBy(*by, "rom_ord", "archive").agg(F.bool_or(F.col("container") == "chd").alias("_image"))
+    found = roms.select(*by, "rom_ord", "name").join(holds, [*by, "rom_ord"]).groupBy(*by, "archive").agg(F.count("*").alias("_n"), F.count_if(~cue).alias("_n_tracks"), F.bool_or("_image").alias("_image"))
     whole = F.col("_n") == F.col("_all")
     if cue_may_lack:
         whole |= F.col("_image") & (F.col("_n_tracks") == F.col("_tracks")) & (F.col("_tracks") > 0)
     return found.join(sizes, by).where(whole).select(*by, "archive")
 
 
+def _field(name: str):
+    return lambda x: x[name]
+
+
 def raw_facts(rows: DataFrame, dir2dat: bool = False, zip_dat: bool = False, extracting: bool = False, zipping: bool = False, zip_format: str = "torrentzip") -> DataFrame:
     """game_ord, reason: why a game's archive cannot be used as it is, the first of RAW_REASONS that holds; null: it can.
 
@@ -184,7 +189,7 @@ def raw_facts(rows: DataFrame, dir2dat: bool = False, zip_dat: bool = False, ext
     padded = F.lit(False)
     for d in digests:
         other |= F.coalesce(F.col(f"{d}_wo").isNotNull() & ~F.col(f"{d}_wo").eqNullSafe(F.col(f"rom_{d}")), F.lit(False))
-        padded |= F.coalesce(F.exists("paddings", lambda p, d=d: p[d] == F.col(f"rom_{d}")), F.lit(False))
+        padded |= F.coalesce(F.array_contains(F.transform("paddings", _field(d)), F.col(f"rom_{d}")), F.lit(False))
     zipped = F.lit(zipping)
     is_zip = F.col("container") == "zip"
     per = rows.groupBy("game_ord").agg(

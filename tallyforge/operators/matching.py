@@ -121,11 +121,11 @@ def required_checksums(roms: DataFrame, least: str = "crc32", most: str = "sha1"
     return roms.agg(F.coalesce(F.bit_or(bit), F.lit(0)).bitwiseOR(BITS[least]).alias("bits"))
 
 
-def archives_need_checksums(roms: DataFrame, mode: str = "auto") -> DataFrame:
-    """One row: whether archives are hashed as files themselves; auto: if a rom is named like one."""
-    if mode != "auto":
-        return roms.sparkSession.range(1).select(F.lit(mode == "always").alias("needed"))
-    return roms.agg(F.coalesce(F.bool_or(F.col("name").rlike(r"(?i)\.(7z|cso|dax|gz|gcz|rar|rvz|tar|tgz|wia|z|zip|zipx|zso|chd)$")), F.lit(False)).alias("needed"))
+def archives_need_checksums(roms: DataFrame, mode: str = "auto", by: list[str] | None = None) -> DataFrame:
+    """A row (for each ``by``): whether archives are hashed as files themselves; auto: if a rom is named like one."""
+    named = F.col("name").rlike(r"(?i)\.(7z|cso|dax|gz|gcz|rar|rvz|tar|tgz|wia|z|zip|zipx|zso|chd)$")
+    told = F.lit(mode == "always") if mode != "auto" else F.coalesce(F.bool_or(named), F.lit(False))
+    return roms.groupBy(*by or []).agg(F.count("*").alias("_n"), told.alias("needed")).drop("_n")
 
 
 def content_hashes(content: Column) -> list[Column]:

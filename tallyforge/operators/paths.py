@@ -33,13 +33,13 @@ def console_tokens(df: DataFrame, path: str, consoles: DataFrame, dat_name: str,
 
     ``consoles``: ord, dat_regex, extensions, tokens (map). It is small reference data: one row per console.
     """
-    listed = consoles.agg(F.array_sort(F.collect_list(F.struct("ord", "dat_regex", "extensions", "tokens"))).alias("_consoles")).withColumn("_one", F.lit(1))
+    listed = consoles.agg(F.array_sort(F.collect_list(F.struct("ord", "dat_regex", "extensions", F.map_entries("tokens").alias("tokens")))).alias("_consoles")).withColumn("_one", F.lit(1))
     rows = df.withColumn("_one", F.lit(1)).join(F.broadcast(listed), "_one")
-    named = F.filter("_consoles", lambda c: F.col(dat_name).rlike(c["dat_regex"]))
+    named = F.filter("_consoles", lambda c: F.rlike(F.col(dat_name), c["dat_regex"]))
     alike = F.filter("_consoles", lambda c: F.array_contains(c["extensions"], F.lower(F.col(ext))))
     chosen = F.coalesce(F.try_element_at(named, F.lit(-1)), F.try_element_at(alike, F.lit(-1)))
     rows = rows.withColumn("_chosen", chosen)
-    replaced = F.aggregate(F.map_entries("_chosen.tokens"), F.col(path), lambda acc, e: F.regexp_replace(acc, F.concat(F.lit(r"^(.*?)\{"), e["key"], F.lit(r"\}")), F.concat(F.lit("$1"), F.regexp_replace(e["value"], r"([\\$])", r"\\$1"))))
+    replaced = F.aggregate(F.col("_chosen.tokens"), F.col(path), lambda acc, e: F.regexp_replace(acc, F.concat(F.lit(r"^(.*?)\{"), e["key"], F.lit(r"\}")), F.concat(F.lit("$1"), F.regexp_replace(e["value"], r"([\\$])", r"\\$1"))))
     return rows.withColumn(path, F.coalesce(replaced, F.col(path))).drop("_one", "_consoles", "_chosen")
 
 

@@ -10,7 +10,7 @@ from tallyforge.functions.text import basename, dirname, extension
 
 # The report's columns in order.
 REPORT_COLUMNS = ["DAT Name", "Game Name", "Status", "ROM Files", "Patched", "BIOS", "Retail Release", "Unlicensed", "Debug", "Demo", "Beta", "Sample", "Prototype", "Program", "Aftermarket", "Homebrew", "Bad"]
-_REPORT_FLAGS = ["bios", "retail", "unlicensed", "debug", "demo", "beta", "sample", "prototype", "program", "aftermarket", "homebrew", "bad"]
+REPORT_FLAGS = ["bios", "retail", "unlicensed", "debug", "demo", "beta", "sample", "prototype", "program", "aftermarket", "homebrew", "bad"]
 
 
 def game_status(games: DataFrame, counts: DataFrame, allow_incomplete: bool = True) -> DataFrame:
@@ -66,7 +66,7 @@ def report_rows(statuses: DataFrame, used: DataFrame, leftovers: DataFrame, dat_
     listed = used.groupBy("game_ord").agg(F.array_join(F.array_sort(F.collect_set("path")), "|").alias("_paths"))
     rows = statuses.join(listed, "game_ord", "left")
     patched = F.col("is_patched") if "is_patched" in statuses.columns else F.lit(False)
-    values = [F.lit(dat_name), F.col("name"), F.col("status"), F.coalesce("_paths", F.lit("")), patched.cast("string"), *(F.col(f"is_{k}").cast("string") for k in _REPORT_FLAGS)]
+    values = [F.lit(dat_name), F.col("name"), F.col("status"), F.coalesce("_paths", F.lit("")), patched.cast("string"), *(F.col(f"is_{k}").cast("string") for k in REPORT_FLAGS)]
     games = rows.select(F.lit(0).alias("section"), F.col("name").alias("sort_key"), *(v.alias(c) for v, c in zip(values, REPORT_COLUMNS, strict=True)))
     if deleted is not None:
         leftovers = leftovers.unionByName(deleted.select("path", F.lit("DELETED").alias("status")))

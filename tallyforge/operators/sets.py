@@ -66,8 +66,9 @@ def merged(games: DataFrame, roms: DataFrame) -> DataFrame:
     clone = F.col("game_ord") != F.col("parent_ord")
     rows = rows.withColumn("name", F.when(clone, F.concat("_game", F.lit("/"), "name")).otherwise(F.col("name")))
     rows = rows.withColumn("_order", F.struct((~clone).cast("int"), "game_ord", "rom_ord"))
-    best = rows.groupBy("parent_ord", "rom_hash").agg(F.min_by(F.struct("name", "size"), F.col("_order")).alias("r"))
-    return best.select(F.col("parent_ord").alias("game_ord"), "rom_hash", "r.name", "r.size")
+    rest = [c for c in roms.columns if c not in ("game_ord", "rom_hash")]
+    best = rows.groupBy("parent_ord", "rom_hash").agg(F.min_by(F.struct(*rest), F.col("_order")).alias("r"))
+    return best.select(F.col("parent_ord").alias("game_ord"), "rom_hash", "r.*").select(*roms.columns)
 
 
 def may_merge(games: DataFrame, mode: str | None, by: list[str]) -> DataFrame:

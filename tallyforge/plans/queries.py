@@ -133,7 +133,7 @@ def best_archive(spark: SparkSession, d: str) -> DataFrame:
     return C.best_archive(K.games(spark, d), C.archives_with_every_rom(K.roms(spark, d), entries), entries)
 
 
-EXCESS = """, used AS (SELECT DISTINCT game_ord, archive, entry FROM best WHERE rom_ord = 0),
+EXCESS = """, used AS (SELECT DISTINCT game_ord, archive, entry FROM best),
 excess AS (SELECT DISTINCT u.game_ord, f.archive, f.entry FROM (SELECT DISTINCT game_ord, archive FROM used) u JOIN files f USING (archive)
   WHERE NOT EXISTS (SELECT 1 FROM used x WHERE x.game_ord = u.game_ord AND x.archive = f.archive AND x.entry = f.entry))"""
 
@@ -159,11 +159,11 @@ def complete_sets(spark: SparkSession, d: str) -> DataFrame:
     return C.completeness(K.roms(spark, d), best(spark, d)).where("n_found = n_roms")
 
 
-OUTPUTS = """, outputs AS (SELECT g.parent_key AS dat_id, b.game_ord, b.rom_ord, g.name, b.path, 'out/' || upper(g.name[1]) || '/' || split_part(g.name, ' (', 1) || '.rom' AS out_path FROM best b JOIN games g USING (game_ord))"""
+OUTPUTS = """, outputs AS (SELECT g.game_ord // 8 AS dat_id, b.game_ord, b.rom_ord, g.name, b.path, 'out/' || upper(g.name[1]) || '/' || split_part(g.name, ' (', 1) || '.rom' AS out_path FROM best b JOIN games g USING (game_ord))"""
 
 
 def _outputs(spark: SparkSession, d: str) -> DataFrame:
-    rows = best(spark, d).join(K.games(spark, d).select("game_ord", "name", F.col("parent_key").alias("dat_id")), "game_ord")
+    rows = best(spark, d).join(K.games(spark, d).select("game_ord", "name", F.floor(F.col("game_ord") / 8).alias("dat_id")), "game_ord")
     title = F.substring_index("name", " (", 1)
     return rows.select("dat_id", "game_ord", "rom_ord", "name", "path", F.concat(F.lit("out/"), P.letters(F.col("name")), F.lit("/"), title, F.lit(".rom")).alias("out_path"))
 
@@ -174,8 +174,8 @@ def conflict_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    BEST + OUTPUTS + """, bad AS (SELECT dat_id FROM outputs WHERE rom_ord = 0 GROUP BY dat_id, out_path HAVING count(DISTINCT game_ord) > 1 AND count(DISTINCT path) > 1)
-  SELECT dat_id, game_ord, path, out_path FROM outputs WHERE rom_ord = 0 AND dat_id NOT IN (SELECT dat_id FROM bad)""",
+    BEST + OUTPUTS + """, bad AS (SELECT dat_id FROM outputs GROUP BY dat_id, out_path HAVING count(DISTINCT game_ord) > 1 AND count(DISTINCT path) > 1)
+  SELECT dat_id, game_ord, path, out_path FROM outputs WHERE dat_id NOT IN (SELECT dat_id FROM bad)""",
     (GAMES, ROMS, FILES),
 )
 def validator_discard(spark: SparkSession, d: str) -> DataFrame:
@@ -455,7 +455,17 @@ def dir_letter_limit(spark: SparkSession, d: str) -> DataFrame:
     return P.letter_dirs(_names(spark, d), limit=20).select("name", "dir")
 
 
-@query()
+@query(
+    "WITH RECURSIVE " + GAMES.strip() + """,
+  n AS (SELECT DISTINCT name || '.rom' AS name, regexp_replace(upper(left(name, 1)), '[^A-Z0-9]', '#', 'g') AS letter FROM games),
+  c AS (SELECT letter, count(*) AS n, row_number() OVER (ORDER BY letter) AS i FROM n GROUP BY 1),
+  fold AS (SELECT i, letter, n AS used, 0 AS folder FROM c WHERE i = 1 UNION ALL
+    SELECT c.i, c.letter, CASE WHEN used + c.n > 300 THEN c.n ELSE used + c.n END, CASE WHEN used + c.n > 300 THEN folder + 1 ELSE folder END FROM fold JOIN c ON c.i = fold.i + 1),
+  spans AS (SELECT folder, min(letter) AS a, max(letter) AS b FROM fold GROUP BY 1),
+  placed AS (SELECT n.name, CASE WHEN a = b THEN a ELSE a || '-' || b END AS dir FROM n JOIN fold USING (letter) JOIN spans USING (folder)),
+  w AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY name) AS k, count(*) OVER (PARTITION BY dir) AS m FROM placed)
+  SELECT name, CASE WHEN m > 300 THEN dir || ((k - 1) // 300 + 1) ELSE dir END AS dir FROM w"""
+)
 def dir_letter_group(spark: SparkSession, d: str) -> DataFrame:
     return P.letter_dirs(_names(spark, d), limit=300, grouped=True).select("name", "dir")
 
@@ -564,7 +574,11 @@ def content_digests(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", size, md5, sha1, sha256)
 
 
-@query()
+@query(
+    """WITH t AS (SELECT list(list_reduce(list_prepend(i, [1, 2, 3, 4, 5, 6, 7, 8]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END) ORDER BY i) AS crcs FROM (SELECT unnest(range(256)) AS i)),
+  b AS (SELECT item_id, strlen(text) AS size, list_transform(range(strlen(text)), lambda i: ('0x' || substr(hex(encode(text)), 2 * i::INT + 1, 2))::BIGINT) AS bytes FROM benchmark)
+  SELECT item_id, size, lower(printf('%08x', xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(crcs[xor(c % 256, x) + 1], c // 256))))) AS crc32 FROM b, t"""
+)
 def crc32_files(spark: SparkSession, d: str) -> DataFrame:
     size, crc, *_ = M.content_hashes(F.col("text"))
     return spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", size, crc)
@@ -573,13 +587,17 @@ def crc32_files(spark: SparkSession, d: str) -> DataFrame:
 @query(
     BEST + FLAGGED + """, listed AS (SELECT game_ord, array_to_string(list_sort(list(DISTINCT path)), '|') AS paths FROM best GROUP BY 1),
   lefts AS (SELECT DISTINCT path, CASE WHEN sha1 IN (SELECT f.sha1 FROM files f JOIN best b USING (path)) THEN 'DUPLICATE' ELSE 'UNUSED' END AS status FROM files WHERE path NOT IN (SELECT path FROM best))
-  SELECT 0 AS section, s.name AS "Game Name", s.status AS "Status", coalesce(paths, '') AS "ROM Files", is_bios::VARCHAR AS "BIOS", is_retail::VARCHAR AS "Retail Release", is_bad::VARCHAR AS "Bad" FROM statuses s JOIN flagged USING (game_ord) LEFT JOIN listed USING (game_ord)
-  UNION ALL SELECT CASE status WHEN 'DUPLICATE' THEN 1 ELSE 2 END, '', status, path, 'false', 'false', 'false' FROM lefts""",
+  SELECT 0 AS section, 'parts' AS "DAT Name", s.name AS "Game Name", s.status AS "Status", coalesce(paths, '') AS "ROM Files", 'false' AS "Patched", """
+    + ", ".join(f'is_{k}::VARCHAR AS "{c}"' for k, c in zip(R.REPORT_FLAGS, R.REPORT_COLUMNS[5:], strict=True))
+    + """ FROM statuses s JOIN flagged USING (game_ord) LEFT JOIN listed USING (game_ord)
+  UNION ALL SELECT CASE status WHEN 'DUPLICATE' THEN 1 ELSE 2 END, '', '', status, path, """
+    + ", ".join(["'false'"] * 13)
+    + " FROM lefts",
     (GAMES, ROMS, FILES),
 )
 def report_csv_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = R.report_rows(G.with_names(statuses(spark, d)), best(spark, d).select("game_ord", "path"), _files_left(spark, d), "parts")
-    return rows.select("section", "Game Name", "Status", "ROM Files", "BIOS", "Retail Release", "Bad")
+    return rows.select("section", *R.REPORT_COLUMNS)
 
 
 @query(

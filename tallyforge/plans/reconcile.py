@@ -1,12 +1,13 @@
-"""The whole reconciliation as one plan: catalog and inventory to statuses, outputs and reports."""
+"""The whole reconciliation as one plan: catalogs and inventory to statuses, outputs and reports."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions import names as N
 from tallyforge.operators import candidates as C
 from tallyforge.operators import games as G
 from tallyforge.operators import matching as M
@@ -14,58 +15,192 @@ from tallyforge.operators import paths as P
 from tallyforge.operators import reports as R
 from tallyforge.operators import sets as S
 from tallyforge.plans.options import Options
+from tallyforge.plans.work import stored
+
+#: Games of one catalog, at most, when games of several are numbered.
+DAT_STEP = 1 << 40
 
 
 @dataclass(frozen=True)
 class Result:
     games: DataFrame
+    roms: DataFrame
     matched: DataFrame
     statuses: DataFrame
     leftovers: DataFrame
     report: DataFrame
     outputs: DataFrame
+    fixdat: DataFrame
+    playlists: DataFrame
+
+
+def numbered(games: DataFrame, roms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Games and roms of several catalogs (dat_id, game_ord) with a game_ord that is the game's alone, in order of catalog and game.
+
+    Parents are told apart by catalog too. The only windows are over the
+    catalogs, and over the games of one.
+    """
+    dats = games.select("dat_id").distinct().withColumn("_dat", F.row_number().over(Window.orderBy("dat_id")))
+    ranked = games.withColumn("_rank", F.row_number().over(Window.partitionBy("dat_id").orderBy("game_ord")))
+    keyed = stored(ranked.join(F.broadcast(dats), "dat_id").withColumn("_game", F.col("_dat") * DAT_STEP + F.col("_rank")).drop("_dat", "_rank"), "numbered")
+    roms = roms.join(keyed.select("dat_id", "game_ord", "_game"), ["dat_id", "game_ord"]).drop("game_ord", "dat_id").withColumnRenamed("_game", "game_ord")
+    games = keyed.drop("game_ord").withColumnRenamed("_game", "game_ord")
+    if "parent_key" in games.columns:
+        games = games.withColumn("parent_key", F.concat_ws("|", "dat_id", "parent_key"))
+    return games, roms
+
+
+def with_parents(games: DataFrame, options: Options) -> DataFrame:
+    """Parents from the catalog where it has some, else from the names; per catalog."""
+    if options.dat_ignore_parent_clone or "parent_key" not in games.columns:
+        found = G.infer_parents(games)
+        return found.withColumn("parent_key", F.concat_ws("|", "dat_id", "parent_key"))
+    return games
+
+
+def merged_sets(games: DataFrame, roms: DataFrame, options: Options, device_refs: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Games and roms in the wanted merge mode; catalogs without parents stay as they are."""
+    may = S.may_merge(games, options.merge_roms, ["dat_id"])
+    touched = games.join(may, "dat_id", "left_semi")
+    mine = roms.join(touched.select("game_ord"), "game_ord", "left_semi")
+    rest = roms.join(touched.select("game_ord"), "game_ord", "left_anti")
+    mode = options.merge_roms
+    if mode == "fullnonmerged":
+        if device_refs is not None:
+            mine = S.with_device_roms(mine, device_refs.join(touched.select("game_ord"), "game_ord", "left_semi"))
+        return games, mine.unionByName(rest)
+    if "rom_of" in games.columns and "bios" in roms.columns:
+        mine = S.without_bios_roms(touched, mine)
+    if mode == "split":
+        return games, S.split(touched, mine).unionByName(rest)
+    if mode == "merged":
+        order = Window.partitionBy("game_ord").orderBy(F.contains("name", F.lit("/")).cast("int"), "name", "rom_hash")
+        one = S.merged(touched, mine).withColumn("rom_ord", F.row_number().over(order) - 1)
+        kept = games.join(one.select("game_ord").union(rest.select("game_ord")).distinct(), "game_ord", "left_semi")
+        return kept.withColumn("clone_of", _null()), one.unionByName(rest)
+    return games, mine.unionByName(rest)
 
 
-def reconcile(games: DataFrame, roms: DataFrame, files: DataFrame, options: Options, dat_name: str = "") -> Result:
-    """games (game_ord, name, parent_key, clone_of ...), roms (game_ord, rom_ord, name, digests, rom_hash), files (path, archive, entry, container, digests, in_output).
+def merged_discs(games: DataFrame, roms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Games of several discs as one, named like them without their disc; its first disc stands for it."""
+    titled = games.withColumn("_title", N.strip_disc(F.col("name")))
+    first = titled.groupBy("dat_id", "_title").agg(F.min("game_ord").alias("_first"), F.count("*").alias("n_discs"))
+    rows = stored(titled.join(first, ["dat_id", "_title"]), "discs")
+    renamed = S.merge_discs(rows.where("n_discs > 1").select("game_ord", "name"), roms).select("game_ord", "rom_ord", F.col("name").alias("_name"))
+    roms = roms.join(renamed, ["game_ord", "rom_ord"], "left").withColumn("name", F.coalesce("_name", "name")).drop("_name")
+    roms = roms.join(rows.select("game_ord", "_first"), "game_ord")
+    order = Window.partitionBy("_first").orderBy("game_ord", "rom_ord")
+    roms = roms.withColumn("rom_ord", F.row_number().over(order) - 1).drop("game_ord").withColumnRenamed("_first", "game_ord").select(*[c for c in roms.columns if c != "_first"])
+    games = rows.where("game_ord = _first").withColumn("name", F.when(F.col("n_discs") > 1, F.col("_title")).otherwise(F.col("name"))).withColumn("merged_disc", F.col("n_discs") > 1)
+    return games.drop("_title", "_first", "n_discs"), roms
 
-    In order: parents are inferred where they are not given, sets split or
+
+def _null(kind: str = "string") -> Column:
+    return F.lit(None).cast(kind)
+
+
+def _having(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """``df`` with null for each of these columns that it lacks."""
+    return df.withColumns({c: _null(kind) for c, kind in kinds.items() if c not in df.columns})
+
+
+def reconcile(games: DataFrame, roms: DataFrame, files: DataFrame, options: Options, dat_name: str = "", device_refs: DataFrame | None = None, consoles: DataFrame | None = None) -> Result:
+    """games (dat_id, game_ord, name, parent_key, clone_of ...), roms (dat_id, game_ord, rom_ord, name, size, digests, rom_hash), files (path, archive, entry, container, digests, in_output).
+
+    Without dat_id all is one catalog, ``dat_name``. In order: parents are
+    inferred where they are not given, discs put together, sets split or
     merged, games filtered, one per title preferred, and only then matched, so
-    the preferred game counts even if its files are missing. Everything is one
-    lazy plan; the catalog is the column parent_key's, never a loop.
+    the preferred game counts even if its files are missing. Then each rom gets
+    an input, from an archive that holds the whole game if there is one; games
+    of excess, of clashing or of incomplete files go; and what is left gets its
+    output path. Everything is a plan; no loop runs over games or files.
     """
-    if "parent_key" not in games.columns:
-        games = G.infer_parents(games)
-    roms = S.clean_roms(roms) if "status" in roms.columns else roms
-    if options.merge_roms == "split":
-        roms = S.split(games, roms)
+    several_dats = "dat_id" in games.columns
+    if several_dats:
+        games, roms = numbered(games, roms)
+    else:
+        games = games.withColumn("dat_id", F.lit(dat_name))
+    digests = dict.fromkeys(M.ALGORITHMS, "string")
+    roms = _having(roms, {"status": "string", "size": "bigint", "name": "string", **digests})
+    files = _having(files, {"size": "bigint", **digests})
+    if options.exclude_disks and "kind" in roms.columns:
+        roms = roms.where("kind <> 'disk'")
+    games, roms = with_parents(games, options), S.clean_roms(roms)
+    if options.merge_discs:
+        games, roms = merged_discs(games, roms)
+    games, roms = merged_sets(games, roms, options, device_refs)
+    if options.prefer_rom_regex:
+        games = games.join(roms.groupBy("game_ord").agg(F.collect_set("name").alias("rom_names")), "game_ord", "left")
     named = G.filter_games(G.with_names(games), options)
     if options.single:
         named = G.prefer(named, options)
-    wanted = roms.join(named.select("game_ord"), "game_ord", "left_semi")
+    named = stored(named, "games")
+    wanted = stored(roms.join(named.select("game_ord"), "game_ord", "left_semi"), "roms")
+    # inputs
+    extracting, zipping = "extract" in options.commands, "zip" in options.commands
     keys = M.file_keys(files, ["path", "archive", "entry", "container", "in_output"])
     order = M.file_order(options.prefer_filetype, options.prefer_filename_regex, options.overwrite)
-    matched = M.best_match(wanted, keys, ["game_ord", "rom_ord"], order)
-    counts = C.completeness(wanted, matched)
-    statuses = R.game_status(named, counts, options.allow_incomplete_sets)
-    used = matched.join(statuses.where("status <> 'MISSING'").select("game_ord"), "game_ord", "left_semi")
-    if not options.allow_excess_sets and options.writes and not options.commands & {"extract", "zip"}:
-        in_use = used.where("container <> 'file'").select("game_ord", "archive", "entry")
-        used = C.without_excess(used, C.excess_entries(in_use, files.select("archive", "entry")))
+    matched = M.match(wanted, keys, ["game_ord", "rom_ord"], order)
+    raw_writing = options.writes and not extracting and not zipping
+    matched = C.legal_inputs(matched.join(wanted.select("game_ord", "rom_ord", F.col("name").alias("wanted_entry")), ["game_ord", "rom_ord"]).withColumn("is_disk", F.lit(False)), raw_writing)
+    entries = files.where("entry is not null").select("archive", "entry", "container", "in_output", M.content_key().alias("rom_hash")).distinct()
+    chosen = C.best_archive(named, C.divisions(wanted, matched.where("entry is not null"), ["game_ord"], cue_may_lack=True), entries)
+    used = stored(C.choose_inputs(matched, chosen), "inputs")
+    if raw_writing:
+        # whole archives are copied as they are, so a game's entries have to come from one
+        facts = used.where("entry is not null").groupBy("game_ord").agg((F.countDistinct("archive") != 1).alias("_several"))
+        used = used.join(facts.where("_several").select("game_ord"), "game_ord", "left_anti")
+    empty = M.empty_files(wanted, used, ["game_ord", "rom_ord"]) if "link" not in options.commands else wanted.select("game_ord", "rom_ord").limit(0)
+    found = used.select("game_ord", "rom_ord").union(empty)
+    if not options.allow_excess_sets and raw_writing:
+        in_use = used.where("entry is not null").select("game_ord", "archive", "entry")
+        excess = C.excess_entries(in_use, files.where("entry is not null").select("archive", "entry"))
+        used, found = C.without_excess(used, excess), C.without_excess(found, excess)
+    cues = C.only_cues_missing(wanted, found.join(wanted.select("game_ord", "rom_ord", "name"), ["game_ord", "rom_ord"]))
+    counts = C.completeness(wanted, found).join(cues.withColumn("_cue", F.lit(True)), "game_ord", "left")
+    counts = counts.withColumn("n_found", F.when(F.col("_cue"), F.col("n_roms")).otherwise(F.col("n_found"))).drop("_cue")
+    statuses = stored(R.game_status(named, counts, options.allow_incomplete_sets), "statuses")
+    used = used.join(statuses.where("status <> 'MISSING'").select("game_ord"), "game_ord", "left_semi")
+    # outputs
+    category = F.element_at("categories", 1) if "categories" in statuses.columns else _null()
+    genre = F.col("genre") if "genre" in statuses.columns else _null()
+    merged_disc = F.col("merged_disc") if "merged_disc" in statuses.columns else F.lit(False)
+    tokens = statuses.select("game_ord", "dat_id", "name", "game_type", "regions", "languages", "n_roms", F.array(category).alias("categories"), genre.alias("genre"), merged_disc.alias("merged_disc"))
+    template = options.output or "."
+    tokens = C.explode_tokens(tokens, "{region}" in template, "{language}" in template, False).withColumn("category", F.get("categories", F.lit(0)))
+    rows = used.join(tokens, "game_ord").join(wanted.select("game_ord", "rom_ord", F.col("name").alias("rom")), ["game_ord", "rom_ord"])
+    rows = rows.withColumns({"dat_name": F.col("dat_id"), "dat_description": _null()})
+    zipped, kept = F.lit(zipping), F.lit(raw_writing) & F.col("entry").isNotNull()
+    base = P.output_basename(F.col("name"), F.col("rom"), F.col("path"), zipped, kept)
+    file = P.in_game_dir(base, F.col("name"), F.col("rom"), options.dir_game_subdir, F.col("n_roms") > 1, zipped | kept, F.col("merged_disc"))
+    rows = rows.withColumn("file", file).withColumn("folder", F.lit(template))
+    if consoles is not None:
+        rows = P.console_tokens(rows.withColumn("_ext", F.regexp_extract("rom", r"(\.[^.]*)$", 1)), "folder", consoles, "dat_name", "_ext").drop("_ext")
+    rows = rows.withColumn("folder", P.replace_tokens(F.col("folder"), P.game_tokens(F.col("file"), F.col("path"))))
+    if options.dir_letter:
+        letters = P.letter_dirs(rows.select("dat_id", F.col("file").alias("name")).distinct(), options.dir_letter_count, options.dir_letter_limit, options.dir_letter_group)
+        rows = rows.join(letters.select("dat_id", F.col("name").alias("file"), F.col("dir").alias("letter")), ["dat_id", "file"])
+    else:
+        rows = rows.withColumn("letter", _null())
+    mirrored = P.mirror(F.col("path"), list(options.input)) if options.dir_mirror else _null()
+    by_dat = F.col("dat_name") if options.dir_dat_name else _null()
+    inner = F.when(zipped, F.col("rom"))
+    outputs = rows.select("dat_id", "game_ord", "rom_ord", "name", "path", P.join_path(F.col("folder"), mirrored, by_dat, F.col("letter"), F.col("file")).alias("out_path"), inner.alias("out_entry")).where(~P.has_leftover(F.col("out_path")))
+    if options.writes:
+        clash = C.conflicts(outputs.where("out_entry is null")) if not raw_writing else None
+        outputs = outputs if clash is None else outputs.join(clash.select("game_ord").distinct(), "game_ord", "left_anti")
+        outputs = C.validated(outputs)
+    if zipping and options.zip_dat_name:
+        one = C.combined(outputs.withColumnRenamed("out_entry", "entry"))
+        folder = P.join_path(P.replace_tokens(F.lit(template), {}), F.concat("dat_id", F.lit(".zip")))
+        outputs = one.select("dat_id", "game_ord", "name", "path", folder.alias("out_path"), F.col("entry").alias("out_entry"))
+    outputs = stored(outputs, "outputs")
+    # reports
     leftovers = R.file_status(files.select("path", M.content_key().alias("file_hash")), used)
     report = R.report_rows(statuses, used.select("game_ord", "path"), leftovers, dat_name)
-    several = F.col("n_roms") > 1
-    rows = used.join(statuses.select("game_ord", "name", "game_type", "regions", "languages", "n_roms", F.element_at("categories", 1).alias("category") if "categories" in statuses.columns else F.lit(None).cast("string").alias("category")), "game_ord")
-    rows = rows.join(wanted.select("game_ord", "rom_ord", F.col("name").alias("rom")), ["game_ord", "rom_ord"])
-    zipped = F.lit("zip" in options.commands)
-    kept = F.lit("extract" not in options.commands) & (F.col("container") != "file")
-    base = P.output_basename(F.col("name"), F.col("rom"), F.col("path"), zipped, kept)
-    file = P.in_game_dir(base, F.col("name"), F.col("rom"), options.dir_game_subdir, several, zipped | kept, F.lit(False))
-    rows = rows.withColumn("region", F.element_at(F.concat("regions", F.array(F.lit(None).cast("string"))), 1)).withColumn("language", F.element_at(F.concat("languages", F.array(F.lit(None).cast("string"))), 1))
-    rows = rows.withColumn("genre", F.lit(None).cast("string")).withColumn("dat_name", F.lit(dat_name)).withColumn("dat_description", F.lit(None).cast("string"))
-    folder = P.replace_tokens(F.lit(options.output or "."), P.game_tokens(file, F.col("path")))
-    letter = P.letters(F.col("name"), options.dir_letter_count) if options.dir_letter else F.lit(None).cast("string")
-    mirrored = P.mirror(F.col("path"), list(options.input)) if options.dir_mirror else F.lit(None).cast("string")
-    by_dat = F.lit(dat_name) if options.dir_dat_name else F.lit(None).cast("string")
-    outputs = rows.select(F.lit(dat_name).alias("dat_id"), "game_ord", "rom_ord", "path", P.join_path(folder, mirrored, by_dat, letter, file).alias("out_path")).where(~P.has_leftover(F.col("out_path")))
-    return Result(named, matched, statuses, leftovers, report, C.validated(outputs) if options.writes else outputs)
+    if several_dats:
+        by_game = statuses.groupBy("name").agg(F.min("dat_id").alias("_dat"))
+        report = report.join(by_game, report["Game Name"] == by_game["name"], "left").withColumn("DAT Name", F.coalesce("_dat", F.lit(""))).drop("name", "_dat")
+    written = wanted.join(found, ["game_ord", "rom_ord"], "left_semi")
+    lists = R.playlists(named, outputs, options.playlist_extensions, options.playlist_mode)
+    return Result(named, wanted, used, statuses, leftovers, report, outputs, R.fixdat(wanted, written), lists)
