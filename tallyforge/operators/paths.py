@@ -28,19 +28,22 @@ def game_tokens(basename_: Column | None = None, input_path: Column | None = Non
     return out
 
 
-def console_tokens(df: DataFrame, path: str, consoles: DataFrame, dat_name: str, ext: str) -> DataFrame:
+def console_tokens(df: DataFrame, path: str, consoles: list[tuple[str, list[str], dict[str, str]]], dat_name: str, ext: str) -> DataFrame:
     """``path`` with the tokens of the last console whose regexp finds the catalog's name, else of the last with the extension.
 
-    ``consoles``: ord, dat_regex, extensions, tokens (map). It is small reference data: one row per console.
+    ``consoles``: regexp, extensions and tokens of each, in order; reference
+    data of a row per console, so it stands in the plan.
     """
-    listed = consoles.agg(F.array_sort(F.collect_list(F.struct("ord", "dat_regex", "extensions", F.map_entries("tokens").alias("tokens")))).alias("_consoles")).withColumn("_one", F.lit(1))
-    rows = df.withColumn("_one", F.lit(1)).join(F.broadcast(listed), "_one")
+    texts = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    tokens = lambda t: F.array(*(F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in t.items())).cast("array<struct<key:string,value:string>>")
+    listed = F.array(*(F.struct(F.lit(regex).alias("dat_regex"), texts([e.lower() for e in extensions]).alias("extensions"), tokens(t).alias("tokens")) for regex, extensions, t in consoles))
+    rows = df.withColumn("_consoles", listed)
     named = F.filter("_consoles", lambda c: F.rlike(F.col(dat_name), c["dat_regex"]))
     alike = F.filter("_consoles", lambda c: F.array_contains(c["extensions"], F.lower(F.col(ext))))
     chosen = F.coalesce(F.try_element_at(named, F.lit(-1)), F.try_element_at(alike, F.lit(-1)))
     rows = rows.withColumn("_chosen", chosen)
     replaced = F.aggregate(F.col("_chosen.tokens"), F.col(path), lambda acc, e: F.regexp_replace(acc, F.concat(F.lit(r"^(.*?)\{"), e["key"], F.lit(r"\}")), F.concat(F.lit("$1"), F.regexp_replace(e["value"], r"([\\$])", r"\\$1"))))
-    return rows.withColumn(path, F.coalesce(replaced, F.col(path))).drop("_one", "_consoles", "_chosen")
+    return rows.withColumn(path, F.coalesce(replaced, F.col(path))).drop("_consoles", "_chosen")
 
 
 def has_leftover(path: Column) -> Column:

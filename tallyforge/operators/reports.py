@@ -58,7 +58,7 @@ def percent_band(found: Column, all_: Column) -> Column:
     return F.when(share >= 100, 100).when(share >= 75, 75).when(share >= 50, 50).when(share > 0, 25).otherwise(0)
 
 
-def report_rows(statuses: DataFrame, used: DataFrame, leftovers: DataFrame, dat_name: str, deleted: DataFrame | None = None) -> DataFrame:
+def report_rows(statuses: DataFrame, used: DataFrame, leftovers: DataFrame, dat_name: str | Column, deleted: DataFrame | None = None) -> DataFrame:
     """The report's rows as strings, with section and sort_key to order by: games, then duplicate, unused and deleted files.
 
     ``statuses`` has the name flags; ``used``: game_ord, path.
@@ -66,7 +66,7 @@ def report_rows(statuses: DataFrame, used: DataFrame, leftovers: DataFrame, dat_
     listed = used.groupBy("game_ord").agg(F.array_join(F.array_sort(F.collect_set("path")), "|").alias("_paths"))
     rows = statuses.join(listed, "game_ord", "left")
     patched = F.col("is_patched") if "is_patched" in statuses.columns else F.lit(False)
-    values = [F.lit(dat_name), F.col("name"), F.col("status"), F.coalesce("_paths", F.lit("")), patched.cast("string"), *(F.col(f"is_{k}").cast("string") for k in REPORT_FLAGS)]
+    values = [F.lit(dat_name) if isinstance(dat_name, str) else dat_name, F.col("name"), F.col("status"), F.coalesce("_paths", F.lit("")), patched.cast("string"), *(F.col(f"is_{k}").cast("string") for k in REPORT_FLAGS)]
     games = rows.select(F.lit(0).alias("section"), F.col("name").alias("sort_key"), *(v.alias(c) for v, c in zip(values, REPORT_COLUMNS, strict=True)))
     if deleted is not None:
         leftovers = leftovers.unionByName(deleted.select("path", F.lit("DELETED").alias("status")))

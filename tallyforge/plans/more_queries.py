@@ -598,7 +598,7 @@ def percent_bands(spark: SparkSession, d: str) -> DataFrame:
 
 # Paths
 
-_CONSOLES = [(0, "small", [".rom"], {"sys": "A"}), (1, "ring$", [".zip"], {"sys": "B$1"}), (2, "widget", [".rom", ".bin"], {"sys": "C"}), (3, "none", [".7z"], {"sys": "D"})]
+_CONSOLES = [("small", [".rom"], {"sys": "A"}), ("ring$", [".zip"], {"sys": "B$1"}), ("widget", [".rom", ".bin"], {"sys": "C"}), ("none", [".7z"], {"sys": "D"})]
 
 
 @query(
@@ -606,9 +606,8 @@ _CONSOLES = [(0, "small", [".rom"], {"sys": "A"}), (1, "ring$", [".zip"], {"sys"
     + _sql_of([".ROM", ".zip", ".7z", ".bin", ".txt"], "p_partkey") + " AS ext FROM part)"
 )
 def console_paths(spark: SparkSession, d: str) -> DataFrame:
-    consoles = spark.createDataFrame(_CONSOLES, "ord int, dat_regex string, extensions array<string>, tokens map<string,string>")
     rows = _table(spark, d, "part").select("p_partkey", "p_name", _of([".ROM", ".zip", ".7z", ".bin", ".txt"], F.col("p_partkey")).alias("ext"), F.lit("{sys}/x").alias("path"))
-    return P.console_tokens(rows, "path", consoles, "p_name", "ext").select("p_partkey", "path")
+    return P.console_tokens(rows, "path", _CONSOLES, "p_name", "ext").select("p_partkey", "path")
 
 
 @query(

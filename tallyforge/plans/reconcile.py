@@ -14,6 +14,7 @@ from tallyforge.operators import matching as M
 from tallyforge.operators import paths as P
 from tallyforge.operators import reports as R
 from tallyforge.operators import sets as S
+from tallyforge.operators.sinks import reported
 from tallyforge.plans.options import Options
 from tallyforge.plans.work import stored
 
@@ -34,20 +35,25 @@ class Result:
     playlists: DataFrame
 
 
-def numbered(games: DataFrame, roms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Games and roms of several catalogs (dat_id, game_ord) with a game_ord that is the game's alone, in order of catalog and game.
+def numbered(games: DataFrame, roms: DataFrame, device_refs: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Games, roms and device references of several catalogs (dat_id, game_ord) with a game_ord that is the game's alone, in order of catalog and game.
 
-    Parents are told apart by catalog too. The only windows are over the
-    catalogs, and over the games of one.
+    Parents are told apart by catalog too, and rom_of follows. The only windows
+    are over the catalogs, and over the games of one.
     """
     dats = games.select("dat_id").distinct().withColumn("_dat", F.row_number().over(Window.orderBy("dat_id")))
     ranked = games.withColumn("_rank", F.row_number().over(Window.partitionBy("dat_id").orderBy("game_ord")))
     keyed = stored(ranked.join(F.broadcast(dats), "dat_id").withColumn("_game", F.col("_dat") * DAT_STEP + F.col("_rank")).drop("_dat", "_rank"), "numbered")
-    roms = roms.join(keyed.select("dat_id", "game_ord", "_game"), ["dat_id", "game_ord"]).drop("game_ord", "dat_id").withColumnRenamed("_game", "game_ord")
-    games = keyed.drop("game_ord").withColumnRenamed("_game", "game_ord")
+    ids = keyed.select("dat_id", "game_ord", "_game")
+    renamed = lambda df, c: df.join(ids.select("dat_id", F.col("game_ord").alias(c), F.col("_game").alias("_new")), ["dat_id", c], "left" if c == "rom_of" else "inner").drop(c).withColumnRenamed("_new", c)
+    roms = renamed(roms, "game_ord").drop("dat_id")
+    if device_refs is not None:
+        device_refs = renamed(renamed(device_refs, "game_ord"), "device_ord").select("game_ord", "device_ord")
+    games = renamed(keyed, "rom_of") if "rom_of" in games.columns else keyed
+    games = games.drop("game_ord").withColumnRenamed("_game", "game_ord")
     if "parent_key" in games.columns:
         games = games.withColumn("parent_key", F.concat_ws("|", "dat_id", "parent_key"))
-    return games, roms
+    return games, roms, device_refs
 
 
 def with_parents(games: DataFrame, options: Options) -> DataFrame:
@@ -104,7 +110,7 @@ def _having(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return df.withColumns({c: _null(kind) for c, kind in kinds.items() if c not in df.columns})
 
 
-def reconcile(games: DataFrame, roms: DataFrame, files: DataFrame, options: Options, dat_name: str = "", device_refs: DataFrame | None = None, consoles: DataFrame | None = None) -> Result:
+def reconcile(games: DataFrame, roms: DataFrame, files: DataFrame, options: Options, dat_name: str = "", device_refs: DataFrame | None = None, consoles: list[tuple[str, list[str], dict[str, str]]] | None = None) -> Result:
     """games (dat_id, game_ord, name, parent_key, clone_of ...), roms (dat_id, game_ord, rom_ord, name, size, digests, rom_hash), files (path, archive, entry, container, digests, in_output).
 
     Without dat_id all is one catalog, ``dat_name``. In order: parents are
@@ -117,7 +123,7 @@ def reconcile(games: DataFrame, roms: DataFrame, files: DataFrame, options: Opti
     """
     several_dats = "dat_id" in games.columns
     if several_dats:
-        games, roms = numbered(games, roms)
+        games, roms, device_refs = numbered(games, roms, device_refs)
     else:
         games = games.withColumn("dat_id", F.lit(dat_name))
     digests = dict.fromkeys(M.ALGORITHMS, "string")
@@ -162,7 +168,7 @@ def reconcile(games: DataFrame, roms: DataFrame, files: DataFrame, options: Opti
     statuses = stored(R.game_status(named, counts, options.allow_incomplete_sets), "statuses")
     used = used.join(statuses.where("status <> 'MISSING'").select("game_ord"), "game_ord", "left_semi")
     # outputs
-    category = F.element_at("categories", 1) if "categories" in statuses.columns else _null()
+    category = F.get("categories", F.lit(0)) if "categories" in statuses.columns else _null()
     genre = F.col("genre") if "genre" in statuses.columns else _null()
     merged_disc = F.col("merged_disc") if "merged_disc" in statuses.columns else F.lit(False)
     tokens = statuses.select("game_ord", "dat_id", "name", "game_type", "regions", "languages", "n_roms", F.array(category).alias("categories"), genre.alias("genre"), merged_disc.alias("merged_disc"))
@@ -174,7 +180,7 @@ def reconcile(games: DataFrame, roms: DataFrame, files: DataFrame, options: Opti
     base = P.output_basename(F.col("name"), F.col("rom"), F.col("path"), zipped, kept)
     file = P.in_game_dir(base, F.col("name"), F.col("rom"), options.dir_game_subdir, F.col("n_roms") > 1, zipped | kept, F.col("merged_disc"))
     rows = rows.withColumn("file", file).withColumn("folder", F.lit(template))
-    if consoles is not None:
+    if consoles:
         rows = P.console_tokens(rows.withColumn("_ext", F.regexp_extract("rom", r"(\.[^.]*)$", 1)), "folder", consoles, "dat_name", "_ext").drop("_ext")
     rows = rows.withColumn("folder", P.replace_tokens(F.col("folder"), P.game_tokens(F.col("file"), F.col("path"))))
     if options.dir_letter:
@@ -185,22 +191,19 @@ def reconcile(games: DataFrame, roms: DataFrame, files: DataFrame, options: Opti
     mirrored = P.mirror(F.col("path"), list(options.input)) if options.dir_mirror else _null()
     by_dat = F.col("dat_name") if options.dir_dat_name else _null()
     inner = F.when(zipped, F.col("rom"))
-    outputs = rows.select("dat_id", "game_ord", "rom_ord", "name", "path", P.join_path(F.col("folder"), mirrored, by_dat, F.col("letter"), F.col("file")).alias("out_path"), inner.alias("out_entry")).where(~P.has_leftover(F.col("out_path")))
+    outputs = rows.select("dat_id", "game_ord", "rom_ord", "name", "path", "entry", "container", P.join_path(F.col("folder"), mirrored, by_dat, F.col("letter"), F.col("file")).alias("out_path"), inner.alias("out_entry")).where(~P.has_leftover(F.col("out_path")))
     if options.writes:
         clash = C.conflicts(outputs.where("out_entry is null")) if not raw_writing else None
         outputs = outputs if clash is None else outputs.join(clash.select("game_ord").distinct(), "game_ord", "left_anti")
         outputs = C.validated(outputs)
     if zipping and options.zip_dat_name:
-        one = C.combined(outputs.withColumnRenamed("out_entry", "entry"))
+        one = C.combined(outputs.drop("entry").withColumnRenamed("out_entry", "entry"))
         folder = P.join_path(P.replace_tokens(F.lit(template), {}), F.concat("dat_id", F.lit(".zip")))
         outputs = one.select("dat_id", "game_ord", "name", "path", folder.alias("out_path"), F.col("entry").alias("out_entry"))
     outputs = stored(outputs, "outputs")
     # reports
     leftovers = R.file_status(files.select("path", M.content_key().alias("file_hash")), used)
-    report = R.report_rows(statuses, used.select("game_ord", "path"), leftovers, dat_name)
-    if several_dats:
-        by_game = statuses.groupBy("name").agg(F.min("dat_id").alias("_dat"))
-        report = report.join(by_game, report["Game Name"] == by_game["name"], "left").withColumn("DAT Name", F.coalesce("_dat", F.lit(""))).drop("name", "_dat")
+    report = R.report_rows(reported(statuses), used.select("game_ord", "path"), leftovers, F.col("dat_id") if several_dats else dat_name)
     written = wanted.join(found, ["game_ord", "rom_ord"], "left_semi")
     lists = R.playlists(named, outputs, options.playlist_extensions, options.playlist_mode)
     return Result(named, wanted, used, statuses, leftovers, report, outputs, R.fixdat(wanted, written), lists)

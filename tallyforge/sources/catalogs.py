@@ -196,10 +196,17 @@ def sniff(head: str) -> str:
     return "nested" if _SNIFF.search(head) else "tsv"
 
 
+def _head(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path).limit(200).agg(F.array_join(F.collect_list("value"), "\n")).first()[0] or ""
+
+
+def is_xml(spark: SparkSession, path: str) -> bool:
+    return sniff(_head(spark, path)) in ("game", "machine", "software")
+
+
 def read_catalogs(spark: SparkSession, path: str) -> DataFrame:
     """The games of one catalog file in whichever format it has."""
-    head = spark.read.text(path).limit(200).agg(F.array_join(F.collect_list("value"), "\n")).first()[0] or ""
-    kind = sniff(head)
+    kind = sniff(_head(spark, path))
     if kind == "software":
         return software_games(spark, path)
     return nested_games(spark, path) if kind == "nested" else tsv_games(spark, path) if kind == "tsv" else xml_games(spark, path, kind)
