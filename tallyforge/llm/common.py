@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,6 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     if spark.sparkContext.master.startswith("local["):
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="tallyforge-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
         return f"file://{_LOCAL[0]}"
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
 
@@ -43,7 +47,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+#: Where materialized tables are that can still be reached.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more: all that was made of them is written itself."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def text_bytes(column: str = "text") -> Column:
@@ -135,7 +154,9 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         both = now.union(now.select("v", "u"))
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), tag)
         large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), tag)
+        discard(now, least)
         # small-star: a node and what is below it move to the least below it
         below = materialize(large.groupBy("u").agg(F.min("v").alias("m")), tag)
         moved = large.join(below, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(moved.union(below.select("u", "m")).distinct(), tag)
+        discard(large, below)

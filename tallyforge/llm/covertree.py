@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import components, materialize, min_labels, table
+from tallyforge.llm.common import components, discard, materialize, min_labels, table
 
 #: Vectors of a cell, and visitors in one task.
 CELL, VISITORS = 8192, 8192
@@ -259,6 +259,7 @@ def _split(rows: DataFrame, least: float, cell: int = CELL) -> DataFrame:
         dealt = pivots.select("cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "cid", "vec")
         parts = rest.groupBy("cell", "salt").cogroup(dealt.groupBy("cell", "salt"))
         rows = materialize(parts.applyInArrow(_assign(tau), "cell long, own boolean, cid long, weight long, vec array<double>"), "cells-split")
+        discard(rest, pivots)
     return rows
 
 

@@ -252,3 +252,56 @@ def test_digests_of_queries(spark):
     for r in QUERIES["op5_pii"](spark, FOLDER).collect():
         spans = [f"{k}:{m.start()}:{m.end()}" for k, (p, ok) in PII.items() for m in re.finditer(p, docs[r["doc_id"]]) if ok(m[0])]
         assert r["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest() and r["spans"].startswith(",".join(spans))
+
+
+def plain_histogram(lengths):
+    """Rows of op1 from the lengths of all documents."""
+    n, total, out = len(lengths), sum(lengths), []
+    for k in sorted(set(lengths)):
+        longer = [x for x in lengths if x > k]
+        out.append((k, lengths.count(k), len(longer), sum(longer), total - sum(longer), sum(min(x, k) for x in lengths), (n - len(longer)) / n))
+    return out
+
+
+def test_op1_query(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokens.word_bpe())
+    folder = "/root/testdata/sf0.001"
+    texts = [r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    lengths = [len(tokenizer.encode(x or "", add_special_tokens=False).ids) for x in texts]
+    columns = ["n_tokens", "n_docs", "docs_longer", "tokens_longer", "tokens_within", "tokens_truncated", "quantile"]
+    got = sorted(tuple(r[c] for c in columns) for r in QUERIES["op1_token_counts"](spark, folder).collect())
+    assert got == [pytest.approx(x) for x in plain_histogram(lengths)]
+
+
+def test_histogram_of_odd_rows(spark):
+    """Null, empty and very long texts, the long ones encoded whole by the tokenizer itself."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokens.word_bpe())
+    rows = X.rows() + [(300, "x" * 200_000, "en", "s0", 0), (301, "ab1" * 50_000, "en", "s0", 0)]
+    for clash in (False, True):
+        docs = spark.createDataFrame(rows, X.DOCUMENT)
+        docs = docs.selectExpr("*", "1 as n_tokens", "2 as n_docs", "3 as block") if clash else docs
+        got = {r["n_tokens"]: r["n_docs"] for r in tokens.length_histogram(tokens.token_counts(docs, tokens.word_bpe())).collect()}
+        assert got == Counter(len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids) for r in rows)
+
+
+def test_quality_verdict_is_that_of_its_rules(spark):
+    """kept, worked out from plain counts and the learned rules one text at a time."""
+    folder = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rules = quality.learn(*quality.training_rows(docs, labels), quality.FEATURES)
+    kept = {r["doc_id"]: r["kept"] for r in QUERIES["op2_quality"](spark, folder).collect()}
+    assert rules
+    for r in docs.collect():
+        text = r["text"] or ""
+        words, lines = text.encode().split(), [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        n, chars, symbols, dup, repeated = plain_statistics(r["text"])
+        per = lambda a, b: a / max(b, 1)
+        count = lambda of: sum(c in of for c in text)
+        x = {"n_words": n, "chars_per_word": per(chars, n), "symbols_per_word": per(symbols, n), "dup_line_share": per(dup, len(lines)), "repeat_share": per(repeated, n), "words_per_line": per(n, len(lines)), "distinct_share": per(len(set(words)), n)}
+        x |= {"upper_share": per(count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), chars), "digit_share": per(count("0123456789"), chars), "marks_per_word": per(count(".,;:!?"), n), "longest_word": max(map(len, words), default=0)}
+        hit = any(all(x[f] <= at if sign == "<=" else x[f] >= at for f, sign, at in rule.tests) for rule in rules)
+        assert kept[r["doc_id"]] == (n >= 10 and 100 * repeated <= 20 * n and not hit), r["doc_id"]
