@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import arrow_rows, small_batches, table, text_bytes
 
 #: Bytes, about, that a Python worker keeps of words' ids and again of pieces' ids; at more it starts anew.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 96 << 20
 #: Bytes of a word that is kept, at most; longer ones hardly come twice.
-LONG_WORD = 64
-#: Bytes that an entry takes besides its word and ids.
-_ENTRY = 180
+LONG_WORD = 32
+#: Bytes of an entry: key, value and slot.
+_ENTRY = 240
 
 #: A word whose pieces are sure: letters that have one lower-case form, then marks that join no contraction.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?|*#$%&()\\[\\]\"-]*)")
@@ -38,20 +38,18 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Known(dict):
-    """What words gave; an unknown one is worked out when it is asked for. Holds about ``most`` bytes."""
+    """What words gave; an unknown one is worked out when it is asked for. Holds about ``most`` bytes, then starts anew."""
 
     def __init__(self, find: Callable[[bytes | str], object], most: int):
         super().__init__()
-        self.find, self.most, self.held = find, most, 0
+        self.find, self.most = find, most // _ENTRY
 
     def __missing__(self, word: bytes | str) -> object:
         out = self.find(word)
         if len(word) <= LONG_WORD:
-            if self.held > self.most:
+            if len(self) >= self.most:
                 self.clear()
-                self.held = 0
             self[word] = out
-            self.held += _ENTRY + 5 * len(word)
         return out
 
 
@@ -61,8 +59,8 @@ class WordCache:
     Right for tokenizers that split at white space and drop it, ignore case and
     split letters from marks, as ``word_bpe_49k.json`` does: the ids of a text
     are those of its words in turn, and a plain word's those of its letters and
-    its marks. Other words go through the whole tokenizer. ``make`` turns a
-    word's ids into what is kept.
+    its marks. Other words go through the whole tokenizer. ``make`` turns ids
+    into what is kept, which adds up as the ids do.
     """
 
     def __init__(self, path: str, make: Callable[[list[int]], object], most: int = CACHE_BYTES):
@@ -73,15 +71,15 @@ class WordCache:
         self.letters = _byte_letters()
         self.known, self.pieces = _Known(self._word, most), _Known(self._piece, most)
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> object:
         shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-        return [t.id for t in self.tokenizer.model.tokenize(shown)] if piece else []
+        return self.make([t.id for t in self.tokenizer.model.tokenize(shown)] if piece else [])
 
     def _word(self, word: bytes) -> object:
         text = word.decode("utf-8", "replace")
         m = _PLAIN.fullmatch(text)
         if m:
-            return self.make(self.pieces[m[1].lower()] + self.pieces[m[2]])
+            return self.pieces[m[1].lower()] + self.pieces[m[2]]
         return self.make(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _kept(self, text: bytes | None) -> Iterator[object]:
