@@ -18,6 +18,7 @@ from tallyforge.operators import reports as R
 from tallyforge.operators import sets as S
 from tallyforge.plans import catalog as K
 from tallyforge.plans.options import Options
+from tallyforge.plans.work import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,8 +60,8 @@ def best(spark: SparkSession, d: str) -> DataFrame:
     return M.best_match(K.roms(spark, d), _keys(spark, d), ["game_ord", "rom_ord"], _order())
 
 
-def statuses(spark: SparkSession, d: str) -> DataFrame:
-    return R.game_status(K.games(spark, d), C.completeness(K.roms(spark, d), best(spark, d)))
+def statuses(spark: SparkSession, d: str, found: DataFrame | None = None) -> DataFrame:
+    return R.game_status(K.games(spark, d), C.completeness(K.roms(spark, d), best(spark, d) if found is None else found))
 
 
 @query(BEST + " SELECT game_ord, name, n_roms, n_found, status FROM statuses", (GAMES, ROMS, FILES))
@@ -68,8 +69,8 @@ def report_status(spark: SparkSession, d: str) -> DataFrame:
     return statuses(spark, d).select("game_ord", "name", "n_roms", "n_found", "status")
 
 
-def _files_left(spark: SparkSession, d: str) -> DataFrame:
-    return R.file_status(K.files(spark, d).select("path", F.col("sha1").alias("file_hash")), best(spark, d))
+def _files_left(spark: SparkSession, d: str, found: DataFrame | None = None) -> DataFrame:
+    return R.file_status(K.files(spark, d).select("path", F.col("sha1").alias("file_hash")), best(spark, d) if found is None else found)
 
 
 @query(BEST + " SELECT DISTINCT path FROM files WHERE path NOT IN (SELECT path FROM best) AND sha1 IN (SELECT f.sha1 FROM files f JOIN best b USING (path))", (GAMES, ROMS, FILES))
@@ -596,7 +597,8 @@ def crc32_files(spark: SparkSession, d: str) -> DataFrame:
     (GAMES, ROMS, FILES),
 )
 def report_csv_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = R.report_rows(G.with_names(statuses(spark, d)), best(spark, d).select("game_ord", "path"), _files_left(spark, d), "parts")
+    found = stored(best(spark, d), "best")  # three parts of the report read it
+    rows = R.report_rows(G.with_names(statuses(spark, d, found)), found.select("game_ord", "path"), _files_left(spark, d, found), "parts")
     return rows.select("section", *R.REPORT_COLUMNS)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,14 @@ def scan(spark: SparkSession, paths: tuple[str, ...], options: Options, bits: in
     return rows.where("supported").withColumn("path", local).withColumn("archive", F.col("path"))
 
 
+def consoles(options: Options) -> list[tuple[str, list[str], dict[str, str]]]:
+    """Regexp, extensions and tokens of each console of the JSON file that ``output_console_tokens`` names."""
+    if not options.output_console_tokens:
+        return []
+    with open(options.output_console_tokens, encoding="utf-8") as f:
+        return [(c["datRegex"], c.get("extensions", []), c["tokens"]) for c in json.load(f)["consoles"]]
+
+
 def run(spark: SparkSession, options: Options) -> Result:
     """Reads, reconciles and writes. Files are read from and written to a file system that all executors mount.
 
@@ -89,7 +98,7 @@ def run(spark: SparkSession, options: Options) -> Result:
     outside = scan(spark, (root,), options, bits, False) if root and os.path.isdir(root) else None
     files = files.withColumn("in_output", F.lit(False)) if outside is None else files.withColumn("in_output", F.lit(False)).unionByName(A.exclude(outside, files).withColumn("in_output", F.lit(True)))
     files = stored(files, "files")
-    done = reconcile(linked, roms, files, options, device_refs=refs)
+    done = reconcile(linked, roms, files, options, device_refs=refs, consoles=consoles(options))
     write(spark, done, files, options, root)
     return done
 
@@ -108,11 +117,20 @@ def write(spark: SparkSession, done: Result, files: DataFrame, options: Options,
         written = stored(W.write_outputs(rows.join(plan, "out_path"), mode, options.write_retry), "written")
         if failed := written.where("error is not null").limit(5).collect():
             raise OSError("; ".join(f"{r['out_path']}: {r['error']}" for r in failed))
+        # what was not written stays where it is
+        acted = outputs.join(plan, "out_path")
+        used = acted.where("action <> 'skip'").select("path").distinct().join(acted.where("action = 'skip'").select("path"), "path", "left_anti")
         if "move" in options.commands and not raw:
-            used = outputs.select("path").distinct()
             sums = files.select("path", M.content_key().alias("file_hash"))
-            for r in R.move_delete_plan(sums.join(used, "path", "left_semi"), sums, outputs.select(F.col("out_path").alias("path"))).toLocalIterator():
+            used = stored(R.move_delete_plan(sums.join(used, "path", "left_semi"), sums, outputs.select(F.col("out_path").alias("path"))), "moved")
+            for r in used.toLocalIterator():
                 os.remove(r["path"])
+        if "move" in options.commands and options.move_delete_dirs != "never":
+            inputs = files.where("not in_output").select("path").distinct()
+            roots = [os.path.abspath(p) for p in options.input]
+            for r in A.emptied_folders(inputs, used, roots, options.move_delete_dirs).orderBy(F.length("dir").desc()).toLocalIterator():
+                if os.path.isdir(r["dir"]) and not os.listdir(r["dir"]):
+                    os.rmdir(r["dir"])
     if "clean" in options.commands and root:
         there = A.scan_files(spark, root).select(F.regexp_replace("path", "^file:/*", "/").alias("path"))
         rest = R.clean_plan(there, outputs.select(F.col("out_path").alias("path")))

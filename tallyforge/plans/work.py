@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,6 +20,7 @@ def work_dir(spark: SparkSession) -> str:
         return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="tallyforge-work-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
     return f"file://{_OWN[0]}"
 
 

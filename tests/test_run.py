@@ -1,5 +1,6 @@
 """Whole runs over catalogs and files in folders."""
 
+import dataclasses
 import gzip
 import hashlib
 import zipfile
@@ -66,6 +67,22 @@ def test_zip_report_fixdat_and_clean(spark, place):
 def test_move_links_and_preferences(spark, place):
     run(spark, _options(place, "move", "extract", dat_combine=True))
     assert not (place / "in/1.bin").exists() and not (place / "in/deep/two.zip").exists() and (place / "in/other.gz").exists()
+    assert not (place / "in/deep").exists() and (place / "in").exists()
+
+
+def test_move_leaves_what_it_does_not_write(spark, place):
+    (place / "out").mkdir()
+    (place / "out/one.rom").write_bytes(b"another")
+    run(spark, _options(place, "move", "extract", dat_name_regex="^Al", dir_game_subdir="never"))
+    assert (place / "in/1.bin").read_bytes() == b"one\n" and (place / "out/one.rom").read_bytes() == b"another"
+    assert not (place / "in/deep").exists() and (place / "out/two.rom").read_bytes() == b"two\n"
+
+
+def test_console_tokens(spark, place):
+    (place / "tokens.json").write_text('{"consoles": [{"datRegex": "^Al", "extensions": [".x"], "tokens": {"sys": "A"}}, {"datRegex": "none", "extensions": [".rom"], "tokens": {"sys": "B"}}]}')
+    options = _options(place, "copy", "extract", dir_game_subdir="never", output_console_tokens=str(place / "tokens.json"))
+    run(spark, dataclasses.replace(options, output=str(place / "out/{sys}")))
+    assert sorted(str(p.relative_to(place / "out")) for p in (place / "out").rglob("*.rom")) == ["A/both.rom", "A/one.rom", "A/two.rom", "B/uno.rom"]
 
 
 def test_dir2dat(spark, place):
