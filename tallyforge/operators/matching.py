@@ -43,8 +43,13 @@ def file_keys(files: DataFrame, keep: list[str], suffix: str = "", kind: int | C
 
 
 def strongest_kind(keys: DataFrame) -> DataFrame:
-    """Of each (algo, key) only the least kind: raw bytes before headerless before padded."""
-    return keys.withColumn("_least", F.min("kind").over(Window.partitionBy("algo", "key"))).where("kind = _least").drop("_least")
+    """Of each (algo, key) only the least kind: raw bytes before headerless before padded.
+
+    A minimum that is aggregated before the shuffle, joined back: a content
+    that a large share of files hold is never sorted in one task.
+    """
+    least = keys.groupBy("algo", "key").agg(F.min("kind").alias("kind"))
+    return keys.join(least, ["algo", "key", "kind"], "left_semi")
 
 
 def container_rank(container: Column) -> Column:
