@@ -88,7 +88,8 @@ def match(roms: DataFrame, keys: DataFrame, rom_id: list[str], order: list[Colum
     by strength and ``order``.
     """
     wanted = roms.select(*rom_id, F.explode(_pairs(roms)).alias("k")).select(*rom_id, "k.algo", "k.key")
-    joined = wanted.join(keys.select("*", F.struct(*(c for c in order)).alias("_order")), ["algo", "key"])
+    # the order holds the path again, so it is made after the shuffle
+    joined = wanted.join(keys, ["algo", "key"]).withColumn("_order", F.struct(*order))
     once = Window.partitionBy(*rom_id, "path").orderBy(F.col("strength").desc(), "_order")
     best = joined.withColumn("_once", F.row_number().over(once)).where("_once = 1").drop("_once")
     rank = F.row_number().over(Window.partitionBy(*rom_id).orderBy(F.col("strength").desc(), "_order"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import vocab as V
+from tallyforge.plans.work import never_broadcast
 
 #: Each region's name once, a few pairs and short codes, and none.
 REGION_TAGS = [f" ({name})" for _, name, _, _ in V.REGIONS] + [" (USA, Europe)", " (Japan, USA)", " (J)", " (U)", " (PAL)", " (DE)", "", ""]
@@ -40,17 +41,19 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 4 == 0, F.array(F.lit("jpn"), F.lit("usa"))).otherwise(F.array().cast("array<string>")).alias("release_regions"),
         F.col("p_size"),
     )
+    # brands are few, and each has a large share of the parts
     first = rows.groupBy("parent_key").agg(F.min_by("name", "game_ord").alias("first_name"), F.min("game_ord").alias("first_ord"))
     clone = F.when(F.col("game_ord") != F.col("first_ord"), F.col("first_name"))
     rom_of = F.when(F.col("game_ord") > 0, F.floor(F.col("game_ord") / 2)).cast("long")
-    return rows.join(first, "parent_key").select("game_ord", "name", "parent_key", clone.alias("clone_of"), rom_of.alias("rom_of"), "manufacturer", "categories", "is_bios", "is_device", "release_regions", "p_size")
+    return never_broadcast(rows.join(F.broadcast(first), "parent_key").select("game_ord", "name", "parent_key", clone.alias("clone_of"), rom_of.alias("rom_of"), "manufacturer", "categories", "is_bios", "is_device", "release_regions", "p_size"))
 
 
 def roms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One to three rows per part; which digests a rom has follows its game."""
     k, i = F.col("p_partkey"), F.col("rom_ord")
     seed = F.concat_ws("-", k, i).cast("binary")
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.col("p_size") % 3)).alias("rom_ord"))
+    part = never_broadcast(spark.read.parquet(f"{sf_dir}/part.parquet"))
+    rows = part.select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.col("p_size") % 3)).alias("rom_ord"))
     return rows.select(
         k.alias("game_ord"),
         "rom_ord",
@@ -64,32 +67,37 @@ def roms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def files(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFrame:
     """One row per kept line item: path, entry, container, digests, size, and whether it is in the output folder.
 
     The inventory lacks every seventh part and some copies of every fifth, so
-    that catalogs have roms that no file matches.
+    that catalogs have roms that no file matches. Rows are made distinct by the
+    columns that they are made from, which are a fraction of them, where the
+    join has dealt them to. Without ``once`` repeated rows stay, for callers
+    that take a minimum of them anyway.
     """
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), "p_size")
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_partkey % 7 <> 0 and not (l_partkey % 5 = 0 and l_linenumber % 3 = 1)").join(part, "l_partkey")
-    i = F.col("l_linenumber") % 3
-    seed = F.concat_ws("-", "l_partkey", i).cast("binary")
+    part = never_broadcast(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), "p_size"))
+    lines = never_broadcast(spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_partkey % 7 <> 0 and not (l_partkey % 5 = 0 and l_linenumber % 3 = 1)"))
     cents = lambda c: F.round(F.col(c) * 100).cast("long")
     kind = F.when(F.col("l_returnflag") == "A", "zip").when(F.col("l_returnflag") == "R", "7z").otherwise("file")
     folder = F.when(F.col("l_linestatus") == "F", "in").otherwise("out")
-    entry = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", cents("l_quantity"), cents("l_extendedprice"))
+    rows = lines.select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", cents("l_quantity").alias("_quantity"), cents("l_extendedprice").alias("_price"), kind.alias("container"), folder.alias("_folder"), (F.col("l_linestatus") == "O").alias("in_output")).join(part, "l_partkey")
+    rows = rows.distinct() if once else rows
+    i = F.col("l_linenumber") % 3
+    seed = F.concat_ws("-", "l_partkey", i).cast("binary")
+    entry = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "_quantity", "_price")
     return rows.select(
-        F.concat(folder, F.lit("/"), F.col("l_suppkey"), F.lit("/"), entry, F.lit("."), kind).alias("path"),
-        F.concat(folder, F.lit("/"), F.col("l_suppkey"), F.lit("/"), F.col("l_partkey"), F.lit(".zip")).alias("archive"),
+        F.concat("_folder", F.lit("/"), F.col("l_suppkey"), F.lit("/"), entry, F.lit("."), "container").alias("path"),
+        F.concat("_folder", F.lit("/"), F.col("l_suppkey"), F.lit("/"), F.col("l_partkey"), F.lit(".zip")).alias("archive"),
         F.concat(F.lit("part-"), F.col("l_partkey"), F.lit("-"), i, F.lit(".rom")).alias("entry"),
-        kind.alias("container"),
+        "container",
         (F.col("p_size").cast("long") * 1024 + i).alias("size"),
         F.sha1(seed).alias("sha1"),
         F.md5(seed).alias("md5"),
         F.sha2(seed, 256).alias("sha256"),
-        (F.col("l_linestatus") == "O").alias("in_output"),
+        "in_output",
         F.when(F.col("l_linenumber") == 5, 1).when(F.col("l_linenumber") > 5, 2).otherwise(0).alias("kind"),
-    ).distinct()
+    )
 
 
 def _list(words: list[str]) -> str:
