@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.plans.work import stored
+
 
 def archives_with_every_rom(roms: DataFrame, entries: DataFrame) -> DataFrame:
     """(game_ord, archive): archives that hold all roms of a game.
@@ -262,6 +264,15 @@ def write_order(candidates: DataFrame) -> list[Column]:
     return [F.col("n_roms"), F.col("name")]
 
 
+def placed(candidates: DataFrame, order: list[Column]) -> DataFrame:
+    """``candidates`` with place from 1 in ``order``: dealt out by ranges of it, numbered in each, and moved on by what is in the ranges before."""
+    ranged = stored(candidates.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).drop("_size")
+    numbered = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return numbered.join(before, "_range").withColumn("place", (F.col("_n") + F.col("_before")).cast("long")).drop("_range", "_n", "_before")
+
+
 def candidates_of(games: DataFrame, candidates: DataFrame) -> DataFrame:
     """``games`` (game_ord, name, game_hash) with candidate: by hash, else the first that is alike in name and description."""
     by_hash = candidates.groupBy("game_hash").agg(F.min("candidate").alias("_strong"))

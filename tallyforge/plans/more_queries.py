@@ -453,9 +453,7 @@ def output_dirs(spark: SparkSession, d: str) -> DataFrame:
 @query(BEST + " SELECT game_ord, row_number() OVER (ORDER BY n_roms, name, game_ord) AS place FROM statuses WHERE status <> 'MISSING'", (GAMES, ROMS, FILES))
 def write_order(spark: SparkSession, d: str) -> DataFrame:
     rows = statuses(spark, d).where("status <> 'MISSING'")
-    order = F.struct(*C.write_order(rows), "game_ord")
-    places = rows.agg(F.array_sort(F.collect_list(order)).alias("o")).select(F.posexplode("o").alias("place", "c"))
-    return places.select("c.game_ord", (F.col("place") + 1).cast("long").alias("place"))
+    return C.placed(rows.select("game_ord", "n_roms", "name"), [*C.write_order(rows), F.col("game_ord")]).select("game_ord", "place")
 
 
 @query(" SELECT r.game_ord // 10 AS dat_id, count(*) AS n_roms, sum(size)::BIGINT AS n_bytes FROM roms r GROUP BY 1", (ROMS,))
