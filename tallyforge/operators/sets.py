@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import names as N
 from tallyforge.operators.matching import keep_first
-from tallyforge.plans.work import stored
+from tallyforge.plans.work import never_broadcast, stored
 
 
 def clean_roms(roms: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def split(games: DataFrame, roms: DataFrame) -> DataFrame:
     clones = games.where("clone_of is not null").select("game_ord", "parent_key").join(parents, "parent_key")
     name = F.coalesce("merge", "name") if "merge" in roms.columns else F.col("name")
     have = roms.select(F.col("game_ord").alias("parent_ord"), F.col("name").alias("_name"), F.col("rom_hash").alias("_hash"))
-    mine = roms.join(clones.select("game_ord", "parent_ord"), "game_ord", "left").withColumn("_wanted", name)
+    mine = never_broadcast(roms.join(never_broadcast(clones.select("game_ord", "parent_ord")), "game_ord", "left").withColumn("_wanted", name))
     on = ["parent_ord"]
     return mine.join(have.withColumnsRenamed({}), [mine["parent_ord"] == have["parent_ord"], mine["_wanted"] == have["_name"], mine["rom_hash"] == have["_hash"]], "left_anti").drop("_wanted", *on)
 
@@ -115,11 +115,10 @@ def merge_discs(games: DataFrame, roms: DataFrame) -> DataFrame:
 def game_hash(games: DataFrame, roms: DataFrame) -> DataFrame:
     """(game_ord, game_hash): the name and the contents in order of their hash."""
     lists = roms.groupBy("game_ord").agg(F.array_join(F.array_sort(F.collect_list("rom_hash")), "|").alias("_roms"))
-    return games.join(lists, "game_ord", "left").select("game_ord", F.concat_ws("|", "name", F.coalesce("_roms", F.lit(""))).alias("game_hash"))
+    return games.join(never_broadcast(lists), "game_ord", "left").select("game_ord", F.concat_ws("|", "name", F.coalesce("_roms", F.lit(""))).alias("game_hash"))
 
 
 def combine(games: DataFrame, roms: DataFrame) -> DataFrame:
     """One catalog of several: of games with one name and the same contents the first stays."""
-    hashed = games.join(game_hash(games, roms), "game_ord")
-    first = hashed.groupBy("game_hash").agg(F.min("game_ord").alias("game_ord"))
-    return games.join(first.select("game_ord"), "game_ord", "left_semi")
+    first = game_hash(games, roms).groupBy("game_hash").agg(F.min("game_ord").alias("game_ord"))
+    return games.join(never_broadcast(first.select("game_ord")), "game_ord", "left_semi")
