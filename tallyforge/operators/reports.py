@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import names as N
 from tallyforge.functions.text import basename, dirname, extension
+from tallyforge.plans.work import never_broadcast
 
 # The report's columns in order.
 REPORT_COLUMNS = ["DAT Name", "Game Name", "Status", "ROM Files", "Patched", "BIOS", "Retail Release", "Unlicensed", "Debug", "Demo", "Beta", "Sample", "Prototype", "Program", "Aftermarket", "Homebrew", "Bad"]
@@ -103,7 +104,7 @@ def write_plan(outputs: DataFrame, existing: DataFrame, overwrite: bool = False,
     Of several outputs to one path the first is written, by catalog and game.
     """
     first = Window.partitionBy("out_path").orderBy("dat_id", "game_ord", "path")
-    rows = outputs.withColumn("_n", F.row_number().over(first)).join(existing.select(F.col("path").alias("out_path")).distinct().withColumn("_there", F.lit(True)), "out_path", "left")
+    rows = outputs.withColumn("_n", F.row_number().over(first)).join(never_broadcast(existing.select(F.col("path").alias("out_path")).distinct().withColumn("_there", F.lit(True))), "out_path", "left")
     there = "overwrite" if overwrite else "test" if overwrite_invalid else "skip"
     return rows.withColumn("action", F.when(F.col("_n") > 1, "skip").when(F.col("_there"), there).otherwise("write")).drop("_n", "_there")
 
@@ -129,7 +130,7 @@ def move_delete_plan(moved: DataFrame, files: DataFrame, written: DataFrame) ->
 
 def missing_dependencies(games: DataFrame, device_refs: DataFrame, found: DataFrame) -> DataFrame:
     """(game_ord, needed): parents and devices of found games that are themselves not found."""
-    have = found.select("game_ord").distinct()
+    have = never_broadcast(found.select("game_ord").distinct())
     parents = games.where("clone_of is not null").select("game_ord", "parent_key").join(games.where("clone_of is null").select("parent_key", F.col("game_ord").alias("needed")), "parent_key")
     needs = parents.select("game_ord", "needed").union(device_refs.select("game_ord", F.col("device_ord").alias("needed"))).join(have, "game_ord", "left_semi")
     return needs.join(have.withColumnRenamed("game_ord", "needed"), "needed", "left_anti").select("game_ord", "needed").distinct()
