@@ -71,33 +71,33 @@ def files(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFrame:
     """One row per kept line item: path, entry, container, digests, size, and whether it is in the output folder.
 
     The inventory lacks every seventh part and some copies of every fifth, so
-    that catalogs have roms that no file matches. Rows are made distinct by the
-    columns that they are made from, which are a fraction of them, where the
-    join has dealt them to. Without ``once`` repeated rows stay, for callers
-    that take a minimum of them anyway.
+    that catalogs have roms that no file matches. Rows are made distinct before
+    they have digests, which part and entry tell, where the join has dealt them
+    to. Without ``once`` repeated rows stay, for callers that take a minimum of
+    them anyway.
     """
     part = never_broadcast(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), "p_size"))
     lines = never_broadcast(spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_partkey % 7 <> 0 and not (l_partkey % 5 = 0 and l_linenumber % 3 = 1)"))
     cents = lambda c: F.round(F.col(c) * 100).cast("long")
     kind = F.when(F.col("l_returnflag") == "A", "zip").when(F.col("l_returnflag") == "R", "7z").otherwise("file")
     folder = F.when(F.col("l_linestatus") == "F", "in").otherwise("out")
-    rows = lines.select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", cents("l_quantity").alias("_quantity"), cents("l_extendedprice").alias("_price"), kind.alias("container"), folder.alias("_folder"), (F.col("l_linestatus") == "O").alias("in_output")).join(part, "l_partkey")
-    rows = rows.distinct() if once else rows
     i = F.col("l_linenumber") % 3
-    seed = F.concat_ws("-", "l_partkey", i).cast("binary")
-    entry = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "_quantity", "_price")
-    return rows.select(
-        F.concat("_folder", F.lit("/"), F.col("l_suppkey"), F.lit("/"), entry, F.lit("."), "container").alias("path"),
-        F.concat("_folder", F.lit("/"), F.col("l_suppkey"), F.lit("/"), F.col("l_partkey"), F.lit(".zip")).alias("archive"),
-        F.concat(F.lit("part-"), F.col("l_partkey"), F.lit("-"), i, F.lit(".rom")).alias("entry"),
-        "container",
+    entry = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", cents("l_quantity"), cents("l_extendedprice"))
+    below = F.concat(folder, F.lit("/"), F.col("l_suppkey"), F.lit("/"))
+    rows = lines.join(part, "l_partkey").select(
+        "l_partkey",
+        i.alias("_i"),
+        F.concat(below, entry, F.lit("."), kind).alias("path"),
+        F.concat(below, F.col("l_partkey"), F.lit(".zip")).alias("archive"),
+        kind.alias("container"),
         (F.col("p_size").cast("long") * 1024 + i).alias("size"),
-        F.sha1(seed).alias("sha1"),
-        F.md5(seed).alias("md5"),
-        F.sha2(seed, 256).alias("sha256"),
-        "in_output",
+        (F.col("l_linestatus") == "O").alias("in_output"),
         F.when(F.col("l_linenumber") == 5, 1).when(F.col("l_linenumber") > 5, 2).otherwise(0).alias("kind"),
     )
+    rows = rows.distinct() if once else rows
+    seed = F.concat_ws("-", "l_partkey", "_i").cast("binary")
+    entry = F.concat(F.lit("part-"), F.col("l_partkey"), F.lit("-"), F.col("_i"), F.lit(".rom"))
+    return rows.select("path", "archive", entry.alias("entry"), "container", "size", F.sha1(seed).alias("sha1"), F.md5(seed).alias("md5"), F.sha2(seed, 256).alias("sha256"), "in_output", "kind")
 
 
 def _list(words: list[str]) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators.candidates import placed
 from tallyforge.plans import more_queries as Q
+from tallyforge.plans.catalog import files
 
 #: Of the catalog's own groups one row per brand is sent; these are all that may be.
 ALLOWED = r"HashAggregate\(keys=\[parent_key|SortAggregate\(key=\[parent_key|supplier.parquet"
@@ -38,3 +39,13 @@ def test_places_over_several_ranges(spark):
     rows = spark.range(500).selectExpr("id", "id * 7919 % 500 as x")
     found = placed(rows.repartition(5), [F.col("x"), F.col("id")])
     assert sorted((r["x"], r["place"]) for r in found.collect()) == [(i, i + 1) for i in range(500)]
+
+
+def test_files_without_a_key_come_once(spark, tmp_path):
+    """A line item that differs only in what its row of the inventory does not show is no second file."""
+    part = spark.read.parquet(f"{DATA}/sf0.001/part.parquet").where("p_partkey = 1")
+    line = spark.read.parquet(f"{DATA}/sf0.001/lineitem.parquet").limit(1).withColumns({"l_partkey": F.lit(1).cast("long"), "l_linenumber": F.lit(2), "l_suppkey": F.lit(None).cast("long"), "l_linestatus": F.lit("F")})
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    line.union(line.withColumn("l_orderkey", F.col("l_orderkey") + 1)).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert [(r["path"], r["archive"], r["entry"]) for r in files(spark, str(tmp_path)).collect()] == [(None, None, "part-1-2.rom")]
+    assert files(spark, str(tmp_path), once=False).count() == 2
