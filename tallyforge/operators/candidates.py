@@ -37,6 +37,25 @@ def choose_inputs(matched: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.groupBy("game_ord", "rom_ord").agg(F.min_by(F.struct(*rest), order).alias("m")).select("game_ord", "rom_ord", "m.*")
 
 
+def first_inputs(matched: DataFrame, best: str = "best") -> DataFrame:
+    """game_ord, rom_ord, strength and the fields of ``best``: of all matches of a rom that of the strongest digest, then of the least ``best``.
+
+    A minimum that is aggregated before the shuffle.
+    """
+    fields = [f.name for f in matched.schema[best].dataType.fields]
+    least = matched.groupBy("game_ord", "rom_ord").agg(F.min(F.struct(F.negate("strength").alias("_weak"), best)).alias("m"))
+    return least.select("game_ord", "rom_ord", F.negate("m._weak").alias("strength"), *(F.col(f"m.{best}.{f}") for f in fields))
+
+
+def from_archives(first: DataFrame, held: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``first``, one per rom; where its game has an archive in ``chosen`` (game_ord, archive) that holds the rom, the first input of there."""
+    mine = first_inputs(held.join(chosen, ["game_ord", "archive"]).drop("archive"))
+    rest = [c for c in first.columns if c not in ("game_ord", "rom_ord")]
+    mine = mine.select("game_ord", "rom_ord", F.struct(*rest).alias("_mine"))
+    rows = first.select("game_ord", "rom_ord", F.struct(*rest).alias("_first")).join(mine, ["game_ord", "rom_ord"], "left")
+    return rows.select("game_ord", "rom_ord", F.coalesce("_mine", "_first").alias("m")).select("game_ord", "rom_ord", "m.*")
+
+
 def excess_entries(used: DataFrame, entries: DataFrame) -> DataFrame:
     """(game_ord, archive, entry): entries of an archive that a game uses, but not for it. ``used``: game_ord, archive, entry."""
     touched = used.select("game_ord", "archive").distinct()
@@ -134,7 +153,16 @@ def raw_reason(facts: dict[str, Column], merged_disc: Column | None = None) -> C
     return out
 
 
-def legal_inputs(matched: DataFrame, raw_writing: Column | bool, extractable: tuple[str, ...] = ("zip", "tar", "gzip"), meaningful: tuple[str, ...] = ("zip", "tar", "rar", "7z")) -> DataFrame:
+#: Containers whose entries can be read out, and those in which the path of an entry means something.
+EXTRACTABLE, MEANINGFUL = ("zip", "tar", "gzip"), ("zip", "tar", "rar", "7z")
+
+
+def claimed_entry(meaningful: tuple[str, ...] = MEANINGFUL) -> Column:
+    """The path that an entry has to be wanted by, where archives are written as they are; null: any."""
+    return F.when(F.col("entry").isNotNull() & F.col("container").isin(*meaningful), F.col("entry"))
+
+
+def legal_inputs(matched: DataFrame, raw_writing: Column | bool, extractable: tuple[str, ...] = EXTRACTABLE, meaningful: tuple[str, ...] = MEANINGFUL) -> DataFrame:
     """Matches (container, entry, wanted_entry, is_disk) whose input can serve its rom.
 
     Unless archives are written as they are, an entry must be one that can be
@@ -145,7 +173,7 @@ def legal_inputs(matched: DataFrame, raw_writing: Column | bool, extractable: tu
     raw = F.lit(raw_writing) if isinstance(raw_writing, bool) else raw_writing
     inside = F.col("entry").isNotNull()
     unreadable = ~raw & inside & ~F.coalesce("is_disk", F.lit(False)) & ~F.col("container").isin(*extractable)
-    misplaced = raw & inside & F.col("container").isin(*meaningful) & F.coalesce(F.col("wanted_entry") != F.col("entry"), F.lit(False))
+    misplaced = raw & F.coalesce(F.col("wanted_entry") != claimed_entry(meaningful), F.lit(False))
     return matched.where(~(unreadable | misplaced))
 
 

@@ -110,6 +110,32 @@ def best_match(roms: DataFrame, keys: DataFrame, rom_id: list[str], order: list[
     return first.select(*rom_id, "m.algo", "m.file.*")
 
 
+def content_id() -> Column:
+    """16 bytes for all digests and the size of a row, which are several times as long."""
+    return F.unhex(F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*ALGORITHMS, "size"]))))
+
+
+def contents(files: DataFrame, by: list[str]) -> DataFrame:
+    """id, ``by``, size, the digests and best: the contents of ``files`` (id, size, digests, value), each once with its least value.
+
+    The least is taken before the shuffle, so what is dealt out is the contents
+    and not their files.
+    """
+    facts = ["size", *ALGORITHMS]
+    return files.groupBy("id", *by).agg(F.min("value").alias("best"), *(F.first(c).alias(c) for c in facts))
+
+
+def content_matches(roms: DataFrame, found: DataFrame, rom_id: list[str]) -> DataFrame:
+    """``rom_id``, id, strength: the contents of every rom, each by the strongest digest that the two share.
+
+    As match(), an equi-join over a row per digest; but of contents, which
+    files share, and without what the files are named.
+    """
+    wanted = roms.select(*rom_id, F.explode(_pairs(roms)).alias("k")).select(*rom_id, "k.strength", "k.key")
+    keys = file_keys(found, ["id"]).select("id", "strength", "key")
+    return wanted.join(keys, ["strength", "key"]).groupBy(*rom_id, "id").agg(F.max("strength").alias("strength"))
+
+
 def empty_files(roms: DataFrame, matched: DataFrame, rom_id: list[str]) -> DataFrame:
     """Rows of ``rom_id`` for the empty roms that no file matched: they can be made from nothing."""
     return roms.where("size = 0").select(*rom_id).join(matched.select(*rom_id).distinct(), rom_id, "left_anti")

@@ -16,7 +16,7 @@ from tallyforge.operators import reports as R
 from tallyforge.operators import sets as S
 from tallyforge.operators.sinks import reported
 from tallyforge.plans.options import Options
-from tallyforge.plans.work import stored
+from tallyforge.plans.work import never_broadcast, stored
 
 #: Games of one catalog, at most, when games of several are numbered.
 DAT_STEP = 1 << 40
@@ -110,6 +110,39 @@ def _having(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return df.withColumns({c: _null(kind) for c, kind in kinds.items() if c not in df.columns})
 
 
+def inputs(games: DataFrame, roms: DataFrame, files: DataFrame, order: list[Column], raw_writing: bool) -> DataFrame:
+    """game_ord, rom_ord, strength, path, archive, entry, container, in_output: the input of every rom that has one.
+
+    The rom's first file by digest and ``order``, but from its game's archive
+    if there is one that holds the whole game. Roms are matched with contents,
+    each once, whose best file is found before; files themselves are dealt out
+    only where they lie in archives, to tell which hold a game. Each step is
+    stored, and what would be too long to deal out for every file, its digests
+    and its name in a row for each digest, is never made.
+    """
+    rom_id, facts, claim = ["game_ord", "rom_ord"], ["path", "archive", "entry", "container", "in_output"], []
+    legal = C.legal_inputs(files.withColumns({"wanted_entry": _null(), "is_disk": F.lit(False)}), raw_writing)
+    if raw_writing:
+        # an entry serves only roms of its name
+        claim = ["claim"]
+        legal = legal.withColumn("claim", C.claimed_entry())
+    fits = "claim is null or name is null or claim = name" if claim else "true"
+    # the order ends with the path, which is the first of the facts
+    value = F.struct(*(c.alias(f"_{i}") for i, c in enumerate(order[:-1])), *facts)
+    legal = legal.withColumns({"id": M.content_id(), "value": value})
+    contents = stored(M.contents(legal, claim), "contents")
+    matches = stored(M.content_matches(roms, contents, [*rom_id, "name"] if claim else rom_id), "matches")
+    first = stored(C.first_inputs(matches.join(never_broadcast(contents), "id").where(fits)).select(*rom_id, "strength", *facts), "first")
+    boxed = legal.where("entry is not null").select("id", "archive", "container", F.col("value").alias("best"), *claim)
+    held = stored(never_broadcast(matches).join(boxed, "id").where(fits).select(*rom_id, "strength", "archive", "container", "best"), "held")
+    whole = stored(C.divisions(roms, held, ["game_ord"], cue_may_lack=True), "whole")
+    # only the entries of archives that may be chosen are told apart
+    entries = files.where("entry is not null").select("archive", "entry", "container", "in_output", F.unhex(F.md5(M.content_key())).alias("rom_hash"))
+    entries = entries.join(never_broadcast(whole.select("archive").distinct()), "archive", "left_semi").distinct()
+    chosen = stored(C.best_archive(games, whole, entries), "chosen")
+    return C.from_archives(first, held, chosen)
+
+
 def reconcile(games: DataFrame, roms: DataFrame, files: DataFrame, options: Options, dat_name: str = "", device_refs: DataFrame | None = None, consoles: list[tuple[str, list[str], dict[str, str]]] | None = None) -> Result:
     """games (dat_id, game_ord, name, parent_key, clone_of ...), roms (dat_id, game_ord, rom_ord, name, size, digests, rom_hash), files (path, archive, entry, container, digests, in_output).
 
@@ -144,14 +177,8 @@ def reconcile(games: DataFrame, roms: DataFrame, files: DataFrame, options: Opti
     wanted = stored(roms.join(named.select("game_ord"), "game_ord", "left_semi"), "roms")
     # inputs
     extracting, zipping = "extract" in options.commands, "zip" in options.commands
-    keys = M.file_keys(files, ["path", "archive", "entry", "container", "in_output"])
-    order = M.file_order(options.prefer_filetype, options.prefer_filename_regex, options.overwrite)
-    matched = M.match(wanted, keys, ["game_ord", "rom_ord"], order)
     raw_writing = options.writes and not extracting and not zipping
-    matched = C.legal_inputs(matched.join(wanted.select("game_ord", "rom_ord", F.col("name").alias("wanted_entry")), ["game_ord", "rom_ord"]).withColumn("is_disk", F.lit(False)), raw_writing)
-    entries = files.where("entry is not null").select("archive", "entry", "container", "in_output", M.content_key().alias("rom_hash")).distinct()
-    chosen = C.best_archive(named, C.divisions(wanted, matched.where("entry is not null"), ["game_ord"], cue_may_lack=True), entries)
-    used = stored(C.choose_inputs(matched, chosen), "inputs")
+    used = stored(inputs(named, wanted, files, M.file_order(options.prefer_filetype, options.prefer_filename_regex, options.overwrite), raw_writing), "inputs")
     if raw_writing:
         # whole archives are copied as they are, so a game's entries have to come from one
         facts = used.where("entry is not null").groupBy("game_ord").agg((F.countDistinct("archive") != 1).alias("_several"))
@@ -182,7 +209,8 @@ def reconcile(games: DataFrame, roms: DataFrame, files: DataFrame, options: Opti
     rows = rows.withColumn("file", file).withColumn("folder", F.lit(template))
     if consoles:
         rows = P.console_tokens(rows.withColumn("_ext", F.regexp_extract("rom", r"(\.[^.]*)$", 1)), "folder", consoles, "dat_name", "_ext").drop("_ext")
-    rows = rows.withColumn("folder", P.replace_tokens(F.col("folder"), P.game_tokens(F.col("file"), F.col("path"))))
+    if consoles or "{" in template:
+        rows = rows.withColumn("folder", P.replace_tokens(F.col("folder"), P.game_tokens(F.col("file"), F.col("path"))))
     if options.dir_letter:
         letters = P.letter_dirs(rows.select("dat_id", F.col("file").alias("name")).distinct(), options.dir_letter_count, options.dir_letter_limit, options.dir_letter_group)
         rows = rows.join(letters.select("dat_id", F.col("name").alias("file"), F.col("dir").alias("letter")), ["dat_id", "file"])
