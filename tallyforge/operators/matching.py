@@ -115,14 +115,25 @@ def content_id() -> Column:
     return F.unhex(F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*ALGORITHMS, "size"]))))
 
 
+def short_keys(df: DataFrame) -> dict[str, Column]:
+    """16 bytes for each digest that ``df`` has, a CRC32 with its size; null where a row lacks it."""
+    keys = {a: F.concat_ws("|", a, "size") if a == "crc32" else F.col(a) for a in ALGORITHMS if a in df.columns}
+    return {f"_{a}": F.when(F.col(a).isNotNull(), F.unhex(F.md5(key))) for a, key in keys.items()}
+
+
+def _short_pairs(columns: list[str]) -> Column:
+    """A row (strength, key) for each of the short keys that a row has."""
+    pairs = [F.when(F.col(f"_{a}").isNotNull(), F.struct(F.lit(len(ALGORITHMS) - i).alias("strength"), F.col(f"_{a}").alias("key"))) for i, a in enumerate(ALGORITHMS) if f"_{a}" in columns]
+    return F.explode(F.filter(F.array(*pairs), lambda x: x.isNotNull()))
+
+
 def contents(files: DataFrame, by: list[str]) -> DataFrame:
-    """id, ``by``, size, the digests and best: the contents of ``files`` (id, size, digests, value), each once with its least value.
+    """id, ``by``, the short keys and best: the contents of ``files`` (id, short keys, value), each once with its least value.
 
     The least is taken before the shuffle, so what is dealt out is the contents
     and not their files.
     """
-    facts = ["size", *ALGORITHMS]
-    return files.groupBy("id", *by).agg(F.min("value").alias("best"), *(F.first(c).alias(c) for c in facts))
+    return files.groupBy("id", *by).agg(F.min("value").alias("best"), *(F.first(f"_{a}").alias(f"_{a}") for a in ALGORITHMS if f"_{a}" in files.columns))
 
 
 def content_matches(roms: DataFrame, found: DataFrame, rom_id: list[str]) -> DataFrame:
@@ -131,8 +142,9 @@ def content_matches(roms: DataFrame, found: DataFrame, rom_id: list[str]) -> Dat
     As match(), an equi-join over a row per digest; but of contents, which
     files share, and without what the files are named.
     """
-    wanted = roms.select(*rom_id, F.explode(_pairs(roms)).alias("k")).select(*rom_id, "k.strength", "k.key")
-    keys = file_keys(found, ["id"]).select("id", "strength", "key")
+    roms = roms.select(*rom_id, *(c.alias(k) for k, c in short_keys(roms).items()))
+    wanted = roms.select(*rom_id, _short_pairs(roms.columns).alias("k")).select(*rom_id, "k.strength", "k.key")
+    keys = found.select("id", _short_pairs(found.columns).alias("k")).select("id", "k.strength", "k.key")
     return wanted.join(keys, ["strength", "key"]).groupBy(*rom_id, "id").agg(F.max("strength").alias("strength"))
 
 

@@ -656,7 +656,8 @@ def _catalog(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
     alike = (F.col("game_ord") % 2 == 0) & (F.col("rom_ord") == 0)
     roms = K.roms(spark, d).join(games.select("game_ord", "parent_key"), "game_ord")
     roms = roms.withColumns({"name": F.when(alike, "shared.rom").otherwise(F.col("name")), "rom_hash": F.when(alike, F.col("parent_key")).otherwise(F.col("rom_hash"))}).drop("parent_key")
-    return games, roms, K.files(spark, d).withColumns({"entry": F.when(F.col("container") != "file", F.col("entry")), "archive": F.when(F.col("container") == "file", F.col("path")).otherwise(F.col("archive"))})
+    # repeated rows change nothing in a reconciliation, and need not be told apart
+    return games, roms, K.files(spark, d, once=False).withColumns({"entry": F.when(F.col("container") != "file", F.col("entry")), "archive": F.when(F.col("container") == "file", F.col("path")).otherwise(F.col("archive"))})
 
 
 def _inputs(roms: str, games: str, legal: str) -> str:

@@ -16,7 +16,7 @@ from tallyforge.operators import reports as R
 from tallyforge.operators import sets as S
 from tallyforge.operators.sinks import reported
 from tallyforge.plans.options import Options
-from tallyforge.plans.work import never_broadcast, stored
+from tallyforge.plans.work import discard, never_broadcast, stored
 
 #: Games of one catalog, at most, when games of several are numbered.
 DAT_STEP = 1 << 40
@@ -117,8 +117,9 @@ def inputs(games: DataFrame, roms: DataFrame, files: DataFrame, order: list[Colu
     if there is one that holds the whole game. Roms are matched with contents,
     each once, whose best file is found before; files themselves are dealt out
     only where they lie in archives, to tell which hold a game. Each step is
-    stored, and what would be too long to deal out for every file, its digests
-    and its name in a row for each digest, is never made.
+    stored until the next ones are, and what would be too long to deal out for
+    every file, its digests and its name in a row for each digest, is never
+    made. Repeated rows of ``files`` change nothing.
     """
     rom_id, facts, claim = ["game_ord", "rom_ord"], ["path", "archive", "entry", "container", "in_output"], []
     legal = C.legal_inputs(files.withColumns({"wanted_entry": _null(), "is_disk": F.lit(False)}), raw_writing)
@@ -130,17 +131,22 @@ def inputs(games: DataFrame, roms: DataFrame, files: DataFrame, order: list[Colu
     # the order ends with the path, which is the first of the facts
     value = F.struct(*(c.alias(f"_{i}") for i, c in enumerate(order[:-1])), *facts)
     legal = legal.withColumns({"id": M.content_id(), "value": value})
-    contents = stored(M.contents(legal, claim), "contents")
+    contents = stored(M.contents(legal.select("id", *claim, "value", *(c.alias(k) for k, c in M.short_keys(legal).items())), claim), "contents")
     matches = stored(M.content_matches(roms, contents, [*rom_id, "name"] if claim else rom_id), "matches")
     first = stored(C.first_inputs(matches.join(never_broadcast(contents), "id").where(fits)).select(*rom_id, "strength", *facts), "first")
+    discard(contents)
     boxed = legal.where("entry is not null").select("id", "archive", "container", F.col("value").alias("best"), *claim)
     held = stored(never_broadcast(matches).join(boxed, "id").where(fits).select(*rom_id, "strength", "archive", "container", "best"), "held")
+    discard(matches)
     whole = stored(C.divisions(roms, held, ["game_ord"], cue_may_lack=True), "whole")
-    # only the entries of archives that may be chosen are told apart
-    entries = files.where("entry is not null").select("archive", "entry", "container", "in_output", F.unhex(F.md5(M.content_key())).alias("rom_hash"))
+    # only the entries of archives that may be chosen are told apart, by a number within their archive
+    entries = files.where("entry is not null").select("archive", "container", "in_output", F.xxhash64("entry", M.content_key()).alias("_entry"))
     entries = entries.join(never_broadcast(whole.select("archive").distinct()), "archive", "left_semi").distinct()
     chosen = stored(C.best_archive(games, whole, entries), "chosen")
-    return C.from_archives(first, held, chosen)
+    discard(whole)
+    used = stored(C.from_archives(first, held, never_broadcast(chosen)), "inputs")
+    discard(first, held, chosen)
+    return used
 
 
 def reconcile(games: DataFrame, roms: DataFrame, files: DataFrame, options: Options, dat_name: str = "", device_refs: DataFrame | None = None, consoles: list[tuple[str, list[str], dict[str, str]]] | None = None) -> Result:
@@ -178,7 +184,7 @@ def reconcile(games: DataFrame, roms: DataFrame, files: DataFrame, options: Opti
     # inputs
     extracting, zipping = "extract" in options.commands, "zip" in options.commands
     raw_writing = options.writes and not extracting and not zipping
-    used = stored(inputs(named, wanted, files, M.file_order(options.prefer_filetype, options.prefer_filename_regex, options.overwrite), raw_writing), "inputs")
+    used = inputs(named, wanted, files, M.file_order(options.prefer_filetype, options.prefer_filename_regex, options.overwrite), raw_writing)
     if raw_writing:
         # whole archives are copied as they are, so a game's entries have to come from one
         facts = used.where("entry is not null").groupBy("game_ord").agg((F.countDistinct("archive") != 1).alias("_several"))

@@ -1,5 +1,6 @@
 """Inputs found by contents, against all matches of all files; and the disk that steps leave behind."""
 
+import glob
 import time
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators import candidates as C
 from tallyforge.operators import matching as M
 from tallyforge.plans.reconcile import inputs
-from tallyforge.plans.work import stored
+from tallyforge.plans.work import stored, work_dir
 
 ROM = "game_ord long, rom_ord int, name string, size long, crc32 string, md5 string, sha1 string, sha256 string"
 FILE = "path string, archive string, entry string, container string, in_output boolean, size long, crc32 string, md5 string, sha1 string, sha256 string"
@@ -67,3 +68,26 @@ def test_a_stored_step_leaves_no_shuffle_files(spark):
     else:
         raise AssertionError(left)
     assert spark.conf.get(key, None) == before
+
+
+def test_inputs_leave_only_their_own_table(spark):
+    roms, files = _tables(spark)
+    games = roms.select("game_ord").distinct().withColumn("name", F.lit("5"))
+    there = lambda: set(glob.glob(f"{work_dir(spark).removeprefix('file://')}/*"))
+    known = there()
+    found = inputs(games, roms, files, M.file_order(), False)
+    assert len(there() - known) == 1 and found.count()
+
+
+def test_repeated_files_change_no_input(spark):
+    roms, files = _tables(spark)
+    games = roms.select("game_ord").distinct().withColumn("name", F.lit("5"))
+    rows = lambda f: sorted(map(str, inputs(games, roms, f, M.file_order(), False).collect()))
+    assert rows(files.union(files)) == rows(files)
+
+
+def test_contents_keep_no_long_digest(spark):
+    _, files = _tables(spark)
+    found = M.contents(files.select(M.content_id().alias("id"), F.col("path").alias("value"), *(c.alias(k) for k, c in M.short_keys(files).items())), [])
+    assert {"_sha256", "_crc32"} < set(found.columns) and not set(M.ALGORITHMS) & set(found.columns)
+    assert {len(r[k]) for r in found.collect() for k in found.columns if k.startswith("_") and r[k] is not None} == {16}
