@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands and leading shingles find pairs, the texts confirm them."""
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash and BK-trees find pairs, MinHash bands and leading shingles those beyond their radius; the texts confirm them."""
 
 from __future__ import annotations
 
@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import arrow_rows, components, discard, materialize, small_batches, text_bytes
-from tallyforge.llm.simhash import body_hash, keep_first
+from tallyforge.llm.simhash import body_hash, candidates, keep_first, majority
 
 #: Words of a shingle, and the similarity from which two texts are linked, in tenths.
 WIDTH, TENTHS = 5, 8
+#: Bits in which SimHashes of paired texts differ at most. Two sets of similarity 0.9 differ in 6.6 bits of 64 on average, of 0.8 in 9.7;
+#: at a radius of 7 a tree's entries go down most of it, which took over a minute for 65,536 of them.
+RADIUS = 4
 #: Two texts of similarity s share no band with probability (1 - s ** ROWS) ** BANDS: 5e-6 at 0.8.
 BANDS, ROWS = 40, 6
 #: Shingles that a task keeps, so that a text of many pairs is cut once.
@@ -51,26 +54,27 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, body, key, size, bands): key is a hash of the set of shingles, so that equal sets share it."""
+    """(doc_id, body, key, size, fp, bands): key is a hash of the set of shingles, so that equal sets share it; fp its SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in arrow_rows(batches):
-            keys, sizes, rows = [], [], []
+            keys, sizes, prints, rows = [], [], [], []
             for text in batch.column(2).to_pylist():
                 found = shingles(text)
                 keys.append(xxh64_intdigest(found.tobytes()))
                 sizes.append(len(found))
+                prints.append(majority(found.astype(">u8")))
                 rows.append(bands(found))
             numbers = pa.array(np.concatenate(rows).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), numbers)
-            columns = [*batch.columns[:2], pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int64)), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "body", "key", "size", "bands"])
+            columns = [*batch.columns[:2], pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int64)), pa.array(np.array(prints, np.uint64).view(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "body", "key", "size", "fp", "bands"])
 
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", body_hash().alias("body"), text_bytes().alias("text")).mapInArrow(run, f"doc_id {kind}, body long, key long, size long, bands array<long>")
+    return docs.select("doc_id", body_hash().alias("body"), text_bytes().alias("text")).mapInArrow(run, f"doc_id {kind}, body long, key long, size long, fp long, bands array<long>")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,34 +179,54 @@ def _split(rows: DataFrame, by: list[str]) -> DataFrame:
     return roots.groupBy(*by).agg(F.max_by("root", F.struct("_n", "root")).alias("most"), F.count("*").alias("_roots")).where("_roots > 1").drop("_roots")
 
 
-def links(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
+def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(u, v): pairs of keys whose SimHashes are within RADIUS and whose texts are similar, as BK-trees find them: one or a few for each key."""
+    pairs, sizes = candidates(reps.select("key", "size", "fp"), RADIUS), reps.select("key", "size")
+    left, right = sizes.toDF("a", "size"), sizes.toDF("b", "_size")
+    fit = materialize(pairs.join(left, "a").join(right, "b").where(_fits("size", "_size")).select("a", "b"), "neardup-near")
+    discard(pairs)
+    return confirmed(fit, reps, docs)
+
+
+def links(docs: DataFrame, reps: DataFrame, near: DataFrame | None = None) -> DataFrame | None:
     """(u, v): every key but the smallest of each component, with that smallest key; None if no two texts share a band.
 
-    First each text is compared with one text of each of its buckets, that
-    whose buckets are the fullest: in a group of edited copies the copies of
-    copies have emptier ones. That links most of a large group by a pair or
-    two a text. What shares a bucket and is not linked then is joined by its
-    leading shingles, which loses no pair, and of which texts that differ in
-    too many places have none in common, however large their group. There too
-    only those outside the commonest component are compared with others.
+    ``near`` (u, v) are links that are known, those of SimHash. Where texts of
+    several components share a bucket, each is compared with one text of each
+    of its buckets, that whose buckets are the fullest: in a group of edited
+    copies the copies of copies have emptier ones. That links most of a large
+    group by a pair or two a text. What shares a bucket and is not linked then
+    is joined by its leading shingles, which loses no pair, and of which texts
+    that differ in too many places have none in common, however large their
+    group. There too only those outside the commonest component are compared
+    with others.
     """
+    roots = None if near is None else components(near, "neardup-components")
+
+    def rooted(df: DataFrame) -> DataFrame:
+        if roots is None:
+            return df.withColumn("root", F.col("key"))
+        return df.join(roots, df["key"] == roots["u"], "left").select(*df.columns, F.coalesce("v", "key").alias("root"))
+
     keyed = reps.select("key", "size", F.posexplode("bands")).select(F.xxhash64("pos", "col").alias("bucket"), "key", "size")
     keyed = materialize(keyed, "neardup-buckets")
     full = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(keyed.join(full, "bucket"), "neardup-shared")
+    known = materialize(rooted(keyed.join(full, "bucket")), "neardup-known")
     discard(keyed)
+    shared = materialize(known.join(_split(known, ["bucket"]).select("bucket"), "bucket"), "neardup-shared")
+    discard(known)
     if not shared.head(1):
-        return None
+        return roots
     rank = materialize(shared.groupBy("key").agg(F.sum("n").alias("rank")), "neardup-rank")
-    plain, shared = shared, materialize(shared.select("bucket", "key", "size").join(rank, "key"), "neardup-ranked")
+    plain, shared = shared, materialize(shared.select("bucket", "key", "size", "root").join(rank, "key"), "neardup-ranked")
     discard(plain, rank)
-    chief = shared.groupBy("bucket").agg(F.max(F.struct("rank", F.negate("key").alias("_less"), "key", "size")).alias("c"))
-    chief = chief.select("bucket", F.col("c.key").alias("_key"), F.col("c.size").alias("_size"))
-    pairs = shared.join(chief, "bucket").where(f"key <> _key and {_fits('size', '_size')}").select(F.least("key", "_key").alias("a"), F.greatest("key", "_key").alias("b")).distinct()
+    chief = shared.groupBy("bucket").agg(F.max(F.struct("rank", F.negate("key").alias("_less"), "key", "size", "root")).alias("c"))
+    chief = chief.select("bucket", F.col("c.key").alias("_key"), F.col("c.size").alias("_size"), F.col("c.root").alias("_root"))
+    pairs = shared.join(chief, "bucket").where(f"root <> _root and {_fits('size', '_size')}").select(F.least("key", "_key").alias("a"), F.greatest("key", "_key").alias("b")).distinct()
     pairs = materialize(pairs, "neardup-pairs")
     edges = confirmed(pairs, reps, docs)
+    edges = edges if near is None else near.union(edges)
     roots = components(edges, "neardup-components")
-    rooted = lambda df: df.join(roots, df["key"] == roots["u"], "left").select(*df.columns, F.coalesce("v", "key").alias("root"))
     live = materialize(rooted(shared.select("bucket", "key")), "neardup-rooted")
     open_ = live.join(_split(live, ["bucket"]).select("bucket"), "bucket", "left_semi")
     open_ = materialize(open_.select("key", "root").distinct(), "neardup-open")
@@ -232,9 +256,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     prints = materialize(sketches(docs), "neardup-sketches")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "body"))
-    reps = prints.groupBy("key").agg(least.alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    reps = prints.groupBy("key").agg(least.alias("least"), *(F.first(c).alias(c) for c in ("size", "fp", "bands")))
     reps = materialize(reps, "neardup-reps")
-    named, roots = reps.select("key", F.col("least.doc_id").alias("rep")), links(docs, reps)
+    named, roots = reps.select("key", F.col("least.doc_id").alias("rep")), links(docs, reps, near_links(docs, reps))
     labelled = named.withColumn("group", F.col("key"))
     if roots is not None:
         labelled = materialize(named.join(roots, named["key"] == roots["u"], "left").select("key", "rep", F.coalesce("v", "key").alias("group")), "neardup-groups")

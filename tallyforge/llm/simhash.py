@@ -25,12 +25,15 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
     if not words:
         return 0
     grams = [b" ".join(words)] if len(words) <= width else map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-    n = max(1, len(words) - width + 1)
-    hashes = np.fromiter(map(xxh64_intdigest, grams, repeat(seed)), dtype=">u8", count=n).view(np.uint8)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, 8 * n, 8 << 14):
-        ones += np.unpackbits(hashes[at : at + (8 << 14)]).reshape(-1, 64).sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return majority(np.fromiter(map(xxh64_intdigest, grams, repeat(seed)), dtype=">u8", count=max(1, len(words) - width + 1)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes (big-endian) have set; 0 for none."""
+    ones, cells = np.zeros(64, np.int64), hashes.view(np.uint8)
+    for at in range(0, len(cells), 8 << 14):
+        ones += np.unpackbits(cells[at : at + (8 << 14)]).reshape(-1, 64).sum(axis=0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
@@ -106,12 +109,41 @@ class BKForest:
 TOGETHER = 1 << 16
 
 
-def _shard_links(radius: int):
+def _stars(forest: BKForest, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All links of the trees, shrunk to (fingerprint, least fingerprint reached)."""
+    fp, u, v = forest.fp.view(np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    for a, b in forest.links(radius):
+        u, v = star(np.concatenate([u, fp[a]]), np.concatenate([v, fp[b]]))
+    return u, v
+
+
+#: Entries that look for their chief at once.
+BLOCK = 1 << 10
+
+
+def _chiefs(forest: BKForest, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each entry with a neighbour within ``radius``: the entry, and the neighbour that has the most itself.
+
+    A pair for each entry and not for each link, of which a large group has its
+    square; the trees are walked twice, so that links need not be held, and for
+    few entries at once, as in a wide radius each goes down most of its tree.
+    """
+    n = len(forest.fp)
+    times, best = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    for a, b in forest.links(radius, BLOCK):
+        times += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+    order = times * n + np.arange(n)[::-1]
+    for a, b in forest.links(radius, BLOCK):
+        np.maximum.at(best, a, order[b])
+        np.maximum.at(best, b, order[a])
+    found = np.flatnonzero(best >= 0)
+    fp = forest.fp.view(np.int64)
+    return fp[found], fp[n - 1 - best[found] % n]
+
+
+def _shard_links(radius: int, pairs=_stars):
     def linked(shard: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        forest = BKForest(shard, fp)
-        fp, u, v = forest.fp.view(np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-        for a, b in forest.links(radius):
-            u, v = star(np.concatenate([u, fp[a]]), np.concatenate([v, fp[b]]))
+        u, v = pairs(BKForest(shard, fp), radius)
         if len(u):
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
@@ -140,13 +172,18 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def shards(distinct: DataFrame, radius: int = RADIUS, most: int = SHARD) -> DataFrame:
+def shards(distinct: DataFrame, radius: int = RADIUS, most: int = SHARD, rounds: int | None = None) -> DataFrame:
     """(shard, fp): fingerprints within ``radius`` of each other share one shard at least.
 
     The bits are cut into radius + 1 blocks; of two fingerprints within the
     radius one block is the same, so each value of a block is a shard. A shard
     of over ``most`` is split again by blocks of its other bits. As the other
     bits get fewer with each round, this ends, and no pair is lost.
+
+    Each round makes radius + 1 rows of one, which a wide radius cannot afford
+    for a large group of near copies. After ``rounds`` a shard that is still
+    too large is dealt into several by a hash, and pairs between these are left
+    to the caller.
     """
     parts, level, free = radius + 1, distinct.select("fp", F.lit(0).cast("long").alias("shard"), F.lit(0).alias("path")), [(1 << 64) - 1]
     out = None
@@ -163,6 +200,11 @@ def shards(distinct: DataFrame, radius: int = RADIUS, most: int = SHARD) -> Data
         else:
             hot = materialize(keyed.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > most), "simhash-hot")
             hot = hot if hot.head(1) else None
+        rounds = rounds and rounds - 1
+        if hot is not None and rounds == 0:
+            piece = F.pmod(F.xxhash64(F.lit(7), "fp"), F.ceil(F.col("n") / most))
+            keyed = keyed.join(hot, "shard", "left").select("fp", F.when(F.col("n").isNull(), F.col("shard")).otherwise(F.xxhash64("shard", piece)).alias("shard"))
+            hot = None
         done = keyed if hot is None else keyed.join(hot, "shard", "left_anti")
         out = done.select("shard", "fp") if out is None else out.union(done.select("shard", "fp"))
         if hot is None:
@@ -194,6 +236,22 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3, seed:
     return prints.join(labels, "fp").select("doc_id", "body", "fp", "group", "component_id")
 
 
+def candidates(prints: DataFrame, radius: int, most: int = 256) -> DataFrame:
+    """(a, b): pairs of keys whose fingerprints are within ``radius``, one or a few for each key that has such a neighbour.
+
+    ``prints``: key (long, each once), size, fp. Keys of one fingerprint are
+    paired with its least; every fingerprint with the fullest of its
+    neighbours in each shard's BK-tree. There are two rounds of splitting.
+    """
+    reps = materialize(prints.groupBy("fp").agg(F.min("key").alias("rep")), "simhash-reps")
+    same = prints.join(reps, "fp").where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
+    dealt = shards(reps, radius, most, rounds=2).repartition("shard").sortWithinPartitions("shard")
+    near = materialize(dealt.mapInArrow(_shard_links(radius, _chiefs), "u long, v long").distinct(), "simhash-near")
+    left, right = reps.select(F.col("fp").alias("u"), F.col("rep").alias("_u")), reps.select(F.col("fp").alias("v"), F.col("rep").alias("_v"))
+    near = near.join(left, "u").join(right, "v").select(F.least("_u", "_v").alias("a"), F.greatest("_u", "_v").alias("b"))
+    return materialize(same.union(near).distinct(), "simhash-candidates")
+
+
 def first_of_each(docs: DataFrame, radius: int = RADIUS, width: int = 3, seed: int = 42) -> DataFrame:
     """The rows of ``docs``, one of each group of near_duplicates()."""
     return keep_first(docs, near_duplicates(docs, radius, width, seed))

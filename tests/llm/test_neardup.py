@@ -9,9 +9,11 @@ from pathlib import Path
 sys.path[:0] = [str(Path(__file__).parents[2]), str(Path(__file__).parent)]
 import corpus_pipeline as P
 import fixtures as X
+from pyspark.sql import functions as F
 from test_pair_operators import groups
 
 from tallyforge.llm import neardup
+from tallyforge.llm.simhash import candidates
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -74,3 +76,24 @@ def test_a_bucket_of_unlike_texts_loses_no_pair(spark):
     linked = plain_first(rows)[1]
     found = groups(len(rows), linked)
     assert len(set(keys.values())) == len(set(found)) and all(keys[rows[a][0]] == keys[rows[b][0]] for a, b in linked)
+
+
+def test_bk_trees_over_simhashes_find_near_pairs(spark):
+    r = random.Random(11)
+    rows = [(10 * k + n, edited(X.prose(700 + k, 200), r, n)) for k in range(12) for n in range(3)] + [(5000 + k, edited(X.prose(950, 200), r, 1)) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {x["key"]: x for x in neardup.sketches(docs).collect()}
+    apart = lambda a, b: ((prints[a]["fp"] ^ prints[b]["fp"]) & (2**64 - 1)).bit_count()
+    near = {frozenset((a, b)) for a, b in itertools.combinations(prints, 2) if apart(a, b) <= neardup.RADIUS}
+    table = spark.createDataFrame([(k, x["size"], x["fp"]) for k, x in prints.items()], "key long, size long, fp long")
+    for most in (1024, 8):
+        found = {frozenset((x["a"], x["b"])) for x in candidates(table, neardup.RADIUS, most).collect()}
+        assert found <= near
+    # every text that has a neighbour within the radius has a pair, and a large group not all of its pairs
+    whole = {frozenset((x["a"], x["b"])) for x in candidates(table, neardup.RADIUS).collect()}
+    assert {k for p in whole for k in p} == {k for p in near for k in p} and len(whole) < len(near) / 2
+    reps = neardup.sketches(docs).select("key", "size", "fp", "bands", F.struct(F.lit(False).alias("_none"), "doc_id", "body").alias("least"))
+    links = [(x["u"], x["v"]) for x in neardup.near_links(docs, reps).collect()]
+    similar = {frozenset((a, b)) for a, b in ((rows[i][0], rows[j][0]) for i, j in plain_first(rows)[1])}
+    ids = {k: x["doc_id"] for k, x in prints.items()}
+    assert len(links) > 30 and all(frozenset((ids[u], ids[v])) in similar for u, v in links)
