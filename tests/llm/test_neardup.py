@@ -78,7 +78,8 @@ def test_a_bucket_of_unlike_texts_loses_no_pair(spark):
     assert len(set(keys.values())) == len(set(found)) and all(keys[rows[a][0]] == keys[rows[b][0]] for a, b in linked)
 
 
-def test_bk_trees_over_simhashes_find_near_pairs(spark):
+def test_bk_trees_over_simhashes_find_near_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "RADIUS", 7)  # wide enough for a group of many links
     r = random.Random(11)
     rows = [(10 * k + n, edited(X.prose(700 + k, 200), r, n)) for k in range(12) for n in range(3)] + [(5000 + k, edited(X.prose(950, 200), r, 1)) for k in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
