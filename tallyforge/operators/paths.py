@@ -80,17 +80,21 @@ def letters(name: Column, count: int = 1, grouped: bool = False) -> Column:
     return first if grouped else F.regexp_replace(first, "[^A-Z]", "#")
 
 
-def letter_dirs(names: DataFrame, count: int = 1, limit: int | None = None, grouped: bool = False) -> DataFrame:
-    """``names`` (dat_id, name) with dir: its letter folder.
+def letter_dirs(names: DataFrame, count: int = 1, limit: int | None = None, grouped: bool = False, name: str = "name") -> DataFrame:
+    """``names`` (dat_id, ``name``) with dir: its letter folder.
 
-    name may be ``folder/file``; all of a folder stay together, as one
-    sub-path. With a limit, a letter of more sub-paths is cut into A1, A2 and
+    ``name`` may be ``folder/file``; all of a folder stay together, as one
+    sub-path. Without limit and groups the folder follows from the name, and
+    nothing is joined. With a limit, a letter of more sub-paths is cut into A1, A2 and
     so on. Grouped, whole letters are packed in order into folders of at most
     ``limit`` sub-paths, named A-C; a letter that is too long by itself is cut.
     Only counts per letter, of which there are 37 to the power of ``count`` at
     most, are folded in order.
     """
-    rows = names.withColumn("sub", F.regexp_replace("name", "[/].+$", "")).withColumn("letter", letters(F.when(F.instr("name", "/") > 0, dirname(F.col("name"))).otherwise(stem(F.col("name"))), count, grouped))
+    letter = letters(F.when(F.instr(name, "/") > 0, dirname(F.col(name))).otherwise(stem(F.col(name))), count, grouped)
+    if not grouped and not limit:
+        return names.withColumn("dir", letter)
+    rows = names.withColumns({"sub": F.regexp_replace(name, "[/].+$", ""), "letter": letter})
     subs = rows.select("dat_id", "letter", "sub").distinct()
     if grouped:
         counts = subs.groupBy("dat_id", "letter").agg(F.count("*").alias("n"))

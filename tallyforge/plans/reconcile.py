@@ -135,16 +135,21 @@ def inputs(games: DataFrame, roms: DataFrame, files: DataFrame, order: list[Colu
     matches = stored(M.content_matches(roms, contents, [*rom_id, "name"] if claim else rom_id), "matches")
     first = stored(C.first_inputs(matches.join(never_broadcast(contents), "id").where(fits)).select(*rom_id, "strength", *facts), "first")
     discard(contents)
-    boxed = legal.where("entry is not null").select("id", "archive", "container", F.col("value").alias("best"), *claim)
-    held = stored(never_broadcast(matches).join(boxed, "id").where(fits).select(*rom_id, "strength", "archive", "container", "best"), "held")
+    boxed = legal.where("entry is not null").select("id", F.col("value").alias("best"), *claim)
+    held = stored(never_broadcast(matches).join(boxed, "id").where(fits).select(*rom_id, "strength", "best"), "held")
     discard(matches)
-    whole = stored(C.divisions(roms, held, ["game_ord"], cue_may_lack=True), "whole")
+    holders = held.select("*", "best.archive", "best.container")
+    whole = stored(C.divisions(roms, holders, ["game_ord"], cue_may_lack=True), "whole")
+    if not whole.head(1):
+        # no archive is better than the first file. A join with an empty side would end before the inventory is dealt out for it, whose shuffle files would then stay
+        discard(held, whole)
+        return first
     # only the entries of archives that may be chosen are told apart, by a number within their archive
     entries = files.where("entry is not null").select("archive", "container", "in_output", F.xxhash64("entry", M.content_key()).alias("_entry"))
     entries = entries.join(never_broadcast(whole.select("archive").distinct()), "archive", "left_semi").distinct()
     chosen = stored(C.best_archive(games, whole, entries), "chosen")
     discard(whole)
-    used = stored(C.from_archives(first, held, never_broadcast(chosen)), "inputs")
+    used = stored(C.from_archives(first, holders, never_broadcast(chosen)), "inputs")
     discard(first, held, chosen)
     return used
 
@@ -218,23 +223,27 @@ def reconcile(games: DataFrame, roms: DataFrame, files: DataFrame, options: Opti
     if consoles or "{" in template:
         rows = rows.withColumn("folder", P.replace_tokens(F.col("folder"), P.game_tokens(F.col("file"), F.col("path"))))
     if options.dir_letter:
-        letters = P.letter_dirs(rows.select("dat_id", F.col("file").alias("name")).distinct(), options.dir_letter_count, options.dir_letter_limit, options.dir_letter_group)
-        rows = rows.join(letters.select("dat_id", F.col("name").alias("file"), F.col("dir").alias("letter")), ["dat_id", "file"])
+        rows = P.letter_dirs(rows, options.dir_letter_count, options.dir_letter_limit, options.dir_letter_group, "file").withColumnRenamed("dir", "letter")
     else:
         rows = rows.withColumn("letter", _null())
     mirrored = P.mirror(F.col("path"), list(options.input)) if options.dir_mirror else _null()
     by_dat = F.col("dat_name") if options.dir_dat_name else _null()
     inner = F.when(zipped, F.col("rom"))
     outputs = rows.select("dat_id", "game_ord", "rom_ord", "name", "path", "entry", "container", P.join_path(F.col("folder"), mirrored, by_dat, F.col("letter"), F.col("file")).alias("out_path"), inner.alias("out_entry")).where(~P.has_leftover(F.col("out_path")))
+    steps = []
     if options.writes:
-        clash = C.conflicts(outputs.where("out_entry is null")) if not raw_writing else None
-        outputs = outputs if clash is None else outputs.join(clash.select("game_ord").distinct(), "game_ord", "left_anti")
+        # read several times, to find what clashes
+        steps.append(outputs := stored(outputs, "candidates"))
+        if not raw_writing:
+            steps.append(clash := stored(C.conflicts(outputs.where("out_entry is null")).select("game_ord").distinct(), "clash"))
+            outputs = outputs.join(never_broadcast(clash), "game_ord", "left_anti")
         outputs = C.validated(outputs)
     if zipping and options.zip_dat_name:
         one = C.combined(outputs.drop("entry").withColumnRenamed("out_entry", "entry"))
         folder = P.join_path(P.replace_tokens(F.lit(template), {}), F.concat("dat_id", F.lit(".zip")))
         outputs = one.select("dat_id", "game_ord", "name", "path", folder.alias("out_path"), F.col("entry").alias("out_entry"))
     outputs = stored(outputs, "outputs")
+    discard(*steps)
     # reports
     leftovers = R.file_status(files.select("path", M.content_key().alias("file_hash")), used)
     report = R.report_rows(reported(statuses), used.select("game_ord", "path"), leftovers, F.col("dat_id") if several_dats else dat_name)

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import candidates as C
 from tallyforge.operators import matching as M
+from tallyforge.operators.paths import letter_dirs
+from tallyforge.plans import reconcile
+from tallyforge.plans.options import Options
 from tallyforge.plans.reconcile import inputs
 from tallyforge.plans.work import stored, work_dir
 
@@ -91,3 +94,48 @@ def test_contents_keep_no_long_digest(spark):
     found = M.contents(files.select(M.content_id().alias("id"), F.col("path").alias("value"), *(c.alias(k) for k, c in M.short_keys(files).items())), [])
     assert {"_sha256", "_crc32"} < set(found.columns) and not set(M.ALGORITHMS) & set(found.columns)
     assert {len(r[k]) for r in found.collect() for k in found.columns if k.startswith("_") and r[k] is not None} == {16}
+
+
+def test_where_no_archive_holds_a_game_files_are_not_dealt_out_for_one(spark, monkeypatch):
+    """A join with an empty side ended before the inventory was dealt out, and left its shuffle files."""
+    roms, files = _tables(spark)
+    roms = roms.union(spark.createDataFrame([(g, 9, "9.rom", 1, None, "none", None, None) for g in range(12)], ROM))
+    games = roms.select("game_ord").distinct().withColumn("name", F.lit("5"))
+    tags, order = [], M.file_order()
+    monkeypatch.setattr(reconcile, "stored", lambda df, tag: tags.append(tag) or stored(df, tag))
+    facts = ["game_ord", "rom_ord", "path", "archive", "entry", "container", "in_output"]
+    got = sorted(inputs(games, roms, files, order, False).select(*facts).collect(), key=str)
+    assert tags[-1] == "whole"
+    matched = M.match(roms, M.file_keys(files, ["path", "archive", "entry", "container", "in_output"]), ["game_ord", "rom_ord"], order)
+    matched = C.legal_inputs(matched.withColumns({"wanted_entry": F.lit(None).cast("string"), "is_disk": F.lit(False)}), False)
+    want = C.choose_inputs(matched, games.select("game_ord", F.lit("").alias("archive")).limit(0))
+    assert got and got == sorted(want.select(*facts).collect(), key=str)
+
+
+def test_outputs_are_made_once_and_then_searched_for_clashes(spark, monkeypatch):
+    """Before, every search joined all inputs with their games and letters anew, and all at once took the disk of that several times."""
+    roms, files = _tables(spark)
+    games = roms.select("game_ord").distinct().withColumns({"name": F.concat(F.lit("g"), "game_ord"), "parent_key": F.lit("p"), "clone_of": F.when(F.col("game_ord") > 0, "g0")})
+    # the third and fourth rom of a game get one path
+    name = F.when(F.col("rom_ord") == 2, "g:.rom").when(F.col("rom_ord") == 3, "g;.rom").otherwise(F.concat(F.lit("g"), "game_ord", F.lit("-"), "rom_ord"))
+    roms = roms.withColumns({"rom_hash": F.concat_ws("-", "game_ord", "rom_ord"), "name": name})
+    plans, folders = {}, lambda: set(glob.glob(f"{work_dir(spark).removeprefix('file://')}/*"))
+    monkeypatch.setattr(reconcile, "stored", lambda df, tag: plans.setdefault(tag, df) and stored(df, tag))
+    known = folders()
+    options = Options(commands=frozenset({"copy", "extract"}), allow_incomplete_sets=True, output="o", dir_letter=True)
+    found = reconcile.reconcile(games, roms, files, options).outputs
+    file = lambda g, r: ["g%d-0", "g%d-1", "g;.rom"][r].replace("%d", str(g))
+    want = sorted((g, r, f"o/G/g{g}/{file(g, r)}" if g % 4 else f"o/G/{file(g, r)}") for g in range(12) if g % 4 < 3 for r in range(g % 4 + 1))
+    assert sorted(found.select("game_ord", "rom_ord", "out_path").collect()) == want
+    sources = {f.rsplit("/", 2)[1].split("-")[0] for f in plans["outputs"].inputFiles()}
+    assert sources == {"candidates", "clash"}
+    assert not {"candidates", "clash"} & {f.rsplit("/", 1)[1].split("-")[0] for f in folders() - known}
+
+
+@pytest.mark.parametrize("limit", [None, 2])
+def test_letters_are_joined_only_with_a_limit(spark, limit):
+    names = ["a/1.rom", "a/2.rom", "b.rom", "7.rom", "ab.rom", "ac.rom"]
+    rows = spark.createDataFrame([("d", n, n.upper()) for n in names], "dat_id string, file string, name string")
+    found = letter_dirs(rows, limit=limit, name="file")
+    assert {r["file"]: (r["dir"], r["name"]) for r in found.collect()} == {n: (d if limit else d[0], n.upper()) for n, d in zip(names, ["A1", "A1", "B", "#", "A1", "A2"])}
+    assert ("Join" in found._jdf.queryExecution().optimizedPlan().toString()) == bool(limit)
