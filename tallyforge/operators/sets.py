@@ -112,13 +112,17 @@ def merge_discs(games: DataFrame, roms: DataFrame) -> DataFrame:
     return rows.withColumn("name", F.when(F.col("clashes"), F.concat("_game", F.lit("/"), "name")).otherwise(F.col("name"))).select("title", "game_ord", "rom_ord", "name", "size", "rom_hash")
 
 
-def game_hash(games: DataFrame, roms: DataFrame) -> DataFrame:
-    """(game_ord, game_hash): the name and the contents in order of their hash."""
-    lists = roms.groupBy("game_ord").agg(F.array_join(F.array_sort(F.collect_list("rom_hash")), "|").alias("_roms"))
-    return games.join(never_broadcast(lists), "game_ord", "left").select("game_ord", F.concat_ws("|", "name", F.coalesce("_roms", F.lit(""))).alias("game_hash"))
+def game_hash(games: DataFrame, roms: DataFrame, by: tuple[str, ...] = ("game_ord",)) -> DataFrame:
+    """(``by``, game_hash): the name and the contents in order of their hash."""
+    lists = roms.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("rom_hash")), "|").alias("_roms"))
+    return games.join(never_broadcast(lists), [*by], "left").select(*by, F.concat_ws("|", "name", F.coalesce("_roms", F.lit(""))).alias("game_hash"))
 
 
-def combine(games: DataFrame, roms: DataFrame) -> DataFrame:
-    """One catalog of several: of games with one name and the same contents the first stays."""
-    first = game_hash(games, roms).groupBy("game_hash").agg(F.min("game_ord").alias("game_ord"))
-    return games.join(never_broadcast(first.select("game_ord")), "game_ord", "left_semi")
+def combine(games: DataFrame, roms: DataFrame, by: tuple[str, ...] = ("game_ord",)) -> DataFrame:
+    """One catalog of several: of games with one name and the same contents the first stays.
+
+    ``by`` tells games and their roms apart, and gives the order; where catalogs
+    number their games each for itself, it begins with the catalog.
+    """
+    first = game_hash(games, roms, by).groupBy("game_hash").agg(F.min(F.struct(*by)).alias("_first"))
+    return games.join(never_broadcast(first.select("_first.*")), [*by], "left_semi")
